@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -19,6 +20,7 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
@@ -44,7 +46,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a table in the shared folder and reads it again: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    held = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # the table replaces its shuffle files
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(_CLEAN, held)
     return spark.read.schema(df.schema).parquet(at)
 
 
