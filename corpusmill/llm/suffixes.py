@@ -28,7 +28,7 @@ from corpusmill.session import forget, materialise
 
 LENGTH, GRAM = 200, 32
 #: Bytes that are searched for anchors at once; bytes of pieces a shard; pieces of one anchor beyond which its windows are dealt by digest.
-BUFFER, SHARD, HOT = 1 << 18, 3 << 20, 10_000
+BUFFER, SHARD, HOT = 1 << 18, 1 << 20, 10_000
 _POS = (1 << 24) - 1
 _TABLE = np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
