@@ -22,7 +22,7 @@ from corpusmill.llm.common import text_of
 from corpusmill.llm.quality import key_hash
 
 #: Labelled texts of each class that the fit reads at most (by hash of doc_id), and words of those texts.
-SAMPLE, WORDS = 3000, 1_500_000
+SAMPLE, WORDS = 1500, 600_000
 #: n-gram lengths, buckets, embedding width, standard errors of a telling n-gram, epochs, step, decay, weight of a text's mean.
 NGRAMS, BUCKETS, WIDTH, CUT, EPOCHS, STEP, DECAY, SCALE = (3, 4, 5), 1 << 20, 8, 4.0, 100, 0.05, 1e-6, 50.0
 #: Words whose score a worker keeps.
@@ -106,14 +106,15 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Model:
         for w, k in c.items():
             if w not in vocab:
                 vocab[w] = len(vocab)
-                bags.append(np.array(grams(w)))
+                bags.append(np.array(grams(w), np.int32))
             doc.append(i)
             word.append(vocab[w])
             share.append(k / n)
-    doc, word, share = np.array(doc), np.array(word), np.array(share)
+    doc, word, share = np.array(doc, np.int32), np.array(word, np.int32), np.array(share)
     used = telling([[bags[j] for j in x] for x in np.split(word, np.searchsorted(doc, np.arange(1, len(y))))], y)
     size = np.array([len(g) for g in bags])
-    gram, owner = np.concatenate(bags), np.repeat(np.arange(len(bags)), size)
+    gram, owner = np.concatenate(bags), np.repeat(np.arange(len(bags), dtype=np.int32), size)
+    del bags, vocab
     some = np.isin(gram, used)
     gram, owner = np.searchsorted(used, gram[some]), owner[some]
     e = rng.normal(0, 0.01, (len(used), WIDTH))
@@ -121,10 +122,10 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Model:
     state = [np.zeros_like(x) for x in (e, e, W, W, bias, bias)]
     for t in range(1, EPOCHS + 1):
         diff = W[1] - W[0]
-        s = np.bincount(owner, (e @ diff)[gram], len(bags)) / size
+        s = np.bincount(owner, (e @ diff)[gram], len(size)) / size
         z = SCALE * np.bincount(doc, share * s[word], len(y)) + bias[1] - bias[0]
         g = cls * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        back = SCALE * np.bincount(word, share * g[doc], len(bags)) / size
+        back = SCALE * np.bincount(word, share * g[doc], len(size)) / size
         c = np.bincount(gram, back[owner], len(used))
         pull = e.T @ c
         grads = (c[:, None] * diff + DECAY * e, np.stack([-pull, pull]) + DECAY * W, np.array([-g.sum(), g.sum()]))
