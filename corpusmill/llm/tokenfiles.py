@@ -68,7 +68,7 @@ class ShardWriter:
         own = np.concatenate([own, np.zeros(rows * self.length - len(own), own.dtype)])
         for i in range(0, rows, ROWS_A_BATCH):
             a, b = i * self.length, min(rows, i + ROWS_A_BATCH) * self.length
-            lists = self.docs[i : i + ROWS_A_BATCH]
+            lists = self.docs[i : min(rows, i + ROWS_A_BATCH)]
             flat_docs = pa.array([dict(zip(("doc_id", "at", "n", "first"), d, strict=True)) for x in lists for d in x], _DOC)
             offsets = np.cumsum([0, *map(len, lists)]).astype("int32")
             self.file.write_batch(pa.record_batch([

@@ -315,6 +315,20 @@ def test_file_is_equal_length_and_zero_copy(spark, tmp_path):
             assert batch.column("mask").flatten().to_pylist().count(True) == (r.n_tokens if file.num_record_batches == 1 else 16 * batch.num_rows)
 
 
+@given(st.lists(st.integers(1, 900), max_size=120))
+@settings(max_examples=40, deadline=None)
+def test_shard_writer_round_trip(tmp_path_factory, sizes):
+    at = tmp_path_factory.mktemp("w") / "x.arrow"
+    w, rng = tokenfiles.ShardWriter(f"file://{at}", 3, 50_000, 8), np.random.default_rng(1)
+    docs = [rng.integers(0, 50_000, n).astype("<u4") for n in sizes]
+    for i, d in enumerate(docs):
+        w.add(i, d)
+    w.close()
+    if docs:
+        shard, ids, names, n = tokenfiles.read_file(at.read_bytes())
+        assert (shard, names, n.tolist()) == (3, list(range(len(docs))), sizes) and ids.tolist() == np.concatenate(docs).tolist()
+
+
 @given(st.binary(max_size=3000))
 @settings(max_examples=60, deadline=None)
 def test_image_round_trip(data):
