@@ -24,7 +24,7 @@ from corpusmill.llm.quality import key_hash
 #: Labelled texts of each class that the fit reads at most (by hash of doc_id), and words of those texts.
 SAMPLE, WORDS = 1500, 600_000
 #: n-gram lengths, buckets, embedding width, standard errors of a telling n-gram, epochs, step, decay, weight of a text's mean.
-NGRAMS, BUCKETS, WIDTH, CUT, EPOCHS, STEP, DECAY, SCALE = (3, 4, 5), 1 << 20, 8, 4.0, 100, 0.05, 1e-6, 50.0
+NGRAMS, BUCKETS, WIDTH, CUT, EPOCHS, STEP, DECAY, SCALE = (3, 4, 5), 1 << 20, 8, 6.0, 100, 0.05, 1e-6, 200.0
 #: Words whose score a worker keeps.
 TABLE = 300_000
 _EDGE = ".,;:!?*$%&#|\"'()[]{}<>-_"
