@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import mixing, packing, quality, secrets, simhash
+from corpusmill.llm import mixing, nearcopies, packing, quality, secrets
 from corpusmill.session import materialise
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,8 +20,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one document stays, that with the smallest doc_id."""
-    return simhash.keep_representatives(docs)
+    """Of each group of near copies (similarity 0.8 or more of five-word shingles) one document stays, that with the smallest doc_id."""
+    return nearcopies.keep_representatives(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

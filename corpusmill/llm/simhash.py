@@ -27,11 +27,11 @@ LEAF, SAMPLE = 8_000, 16_000
 BLOCK = 1 << 22  # distances at a time
 
 
-def fingerprint(text: str, size: int = SHINGLE) -> int:
-    """64 bits, each 1 if over half the shingles' XXH64 have it; 0 without words."""
+def shingle_hashes(text: str, size: int) -> np.ndarray:
+    """XXH64 of each run of so many words (of all, if there are fewer), in order; none without words."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     hash_ = xxhash.xxh64_intdigest
     if len(words) < size:
         h = [hash_(b" ".join(words), SEED)]
@@ -40,7 +40,12 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
         ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
         starts = [0, *[e + 1 for e in ends[: len(ends) - size]]]
         h = [hash_(line[a:b], SEED) for a, b in zip(starts, ends[size - 1 :], strict=True)]
-    a = np.array(h, "<u8")
+    return np.array(h, "<u8")
+
+
+def fingerprint(text: str, size: int = SHINGLE) -> int:
+    """64 bits, each 1 if over half the shingles' XXH64 have it; 0 without words."""
+    a = shingle_hashes(text, size)
     total = np.zeros(64, np.int64)
     for i in range(0, len(a), 1 << 16):
         total += np.unpackbits(a[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -184,10 +189,3 @@ def components(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, leaf:
     grouped = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_fp = named.join(grouped, "label").select("fp", "component_id")
     return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with its columns; of its repeated rows one."""
-    kept = components(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    stay = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    return stay.dropDuplicates(["doc_id"])
