@@ -19,5 +19,10 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def text_hash(column: str = "text") -> Column:
+    """Rows of one text have one."""
+    return F.xxhash64(text_of(column))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

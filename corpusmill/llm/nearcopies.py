@@ -3,8 +3,8 @@
 Two texts are linked if their sets of five-word shingles have a similarity of 0.8 or more.
 Such sets share a shingle among the first fifth of each in any common order (prefix
 filter); the order takes common shingles last, so that a line which many texts have brings
-few of them together. Candidates are compared by their whole sets. Star rounds, each text
-of a bucket against one, join large groups first; then all pairs that are still in
+few of them together. Candidates are compared by their whole sets. A star round, each text
+of a bucket against one, joins large groups first; then all pairs that are still in
 different components are compared.
 """
 
@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import text_of
+from corpusmill.llm.common import text_hash, text_of
 from corpusmill.llm.simhash import label_components, shingle_hashes
 from corpusmill.session import materialise
 
 #: Words a shingle; the least similarity is NUM / DEN.
 SHINGLE, NUM, DEN = 5, 4, 5
 #: Star rounds; shingles that the order takes last at most, and the count in a table that makes one such. These bound the work, not the links.
-STARS, HOT, OFTEN = 2, 200_000, 20
+STARS, HOT, OFTEN = 1, 200_000, 20
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -33,11 +33,6 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(h) if len(h) else np.zeros(1, "<u8")
 
 
-def node_of() -> Column:
-    """Rows of one text are one node."""
-    return F.xxhash64(text_of())
-
-
 def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles, ascending, and their counts: those that a batch of rows has twice are counted."""
 
@@ -71,7 +66,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 tokens.append(h[np.lexsort((h, rank))][: len(h) - -(-NUM * len(h) // DEN) + 1].view(np.int64))
             yield pa.record_batch([b.column(0), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
 
-    one = docs.select(node_of().alias("node"), text_of()).mapInArrow(work, "node long, n int, tokens array<long>").dropDuplicates(["node"])
+    one = docs.select(text_hash().alias("node"), text_of()).mapInArrow(work, "node long, n int, tokens array<long>").dropDuplicates(["node"])
     return one.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
 
 
@@ -109,7 +104,7 @@ def labels(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["node", "hashes"])
 
-    texts = docs.select(node_of().alias("node"), text_of().alias("text")).join(met, "node", "left_semi").dropDuplicates(["node"])
+    texts = docs.select(text_hash().alias("node"), text_of().alias("text")).join(met, "node", "left_semi").dropDuplicates(["node"])
     sets = materialise(texts.mapInArrow(work, "node long, hashes binary"), "sets")
     edges, label = None, None
     for r in range(STARS + 1):
@@ -124,14 +119,17 @@ def labels(docs: DataFrame) -> DataFrame:
             pairs = some.alias("x").join(some.alias("y"), "token").where((F.col("x.node") < F.col("y.node")) & possible("x", "y"))
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         found = materialise(verified(pairs, sets), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        label = label_components(edges)
+        if label is None or found.head(1):
+            edges = found if edges is None else edges.unionByName(found)
+            label = label_components(edges)
     return label
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with its columns; of its repeated rows one."""
-    own = docs.select("doc_id", node_of().alias("node")).join(labels(docs), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    kept = own.groupBy("label").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    stay = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    """One row of each component, with its columns: the smallest doc_id (nulls last), then the smallest hash of the text and of the row."""
+    row = docs.select(F.struct("*").alias("row"), "doc_id", text_hash().alias("node"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("hash"))
+    own = row.drop("row").join(labels(docs), "node", "left")
+    first = own.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "hash")).alias("k"))
+    k = first.select("k.doc_id", "k.node", "k.hash").alias("k")
+    same = (F.col("r.node") == F.col("k.node")) & (F.col("r.hash") == F.col("k.hash")) & F.col("r.doc_id").eqNullSafe(F.col("k.doc_id"))
+    return row.alias("r").join(k, same, "left_semi").dropDuplicates(["node", "hash", "doc_id"]).select("row.*")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import text_of
+from corpusmill.llm.common import text_hash, text_of
 from corpusmill.session import materialise
 
 #: Random features, ridge penalty a row, seed, score bins of the calibration.
@@ -59,14 +59,14 @@ def statistics(text: str) -> list[float]:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, stats array<double> of every row; a null text is empty."""
+    """doc_id, hash of the text, stats array<double> of every row; a null text is empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             stats = pa.array([statistics(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))
-            yield pa.record_batch([b.column(0), stats], names=["doc_id", "stats"])
+            yield pa.record_batch([b.column(0), b.column(2), stats], names=["doc_id", "hash", "stats"])
 
-    return docs.select("doc_id", text_of()).mapInArrow(work, "doc_id long, stats array<double>")
+    return docs.select("doc_id", text_of(), text_hash()).mapInArrow(work, "doc_id long, hash long, stats array<double>")
 
 
 class Model:
@@ -159,13 +159,8 @@ def key_hash() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = 5, fold: int = 0, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs.
-
-    held_out is crc32(doc_id as text) mod folds = fold; only other rows are learnt from, a
-    quarter of them for the calibration. Scores depend on the text alone. A label that is
-    null, or of a document that isn't there, is not used.
-    """
+def score_rows(docs: DataFrame, labels: DataFrame, column: str, folds: int, fold: int, threshold: float) -> DataFrame:
+    """What score_documents returns and the hash of the text."""
     stats = materialise(document_statistics(docs), "statistics")
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).cast("int").alias("y"))
     rows = stats.where(key_hash() % folds != fold).join(known, "doc_id").select("stats", "y", ((key_hash() / folds).cast("long") % 4 == 0).alias("calibrate"))
@@ -173,16 +168,27 @@ def score_documents(docs: DataFrame, labels: DataFrame, column: str = "quality",
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"doc_id": f.doc_id, "held_out": f.held_out, "score": model.score(_matrix(f.stats)) if len(f) else []})
+            yield pd.DataFrame({"doc_id": f.doc_id, "hash": f.hash, "held_out": f.held_out, "score": model.score(_matrix(f.stats)) if len(f) else []})
 
-    scored = stats.select("doc_id", (key_hash() % folds == fold).alias("held_out"), "stats").mapInPandas(work, "doc_id long, held_out boolean, score double")
+    scored = stats.select("doc_id", "hash", (key_hash() % folds == fold).alias("held_out"), "stats").mapInPandas(work, "doc_id long, hash long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def score_documents(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = 5, fold: int = 0, threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs.
+
+    held_out is crc32(doc_id as text) mod folds = fold; only other rows are learnt from, a
+    quarter of them for the calibration. Scores depend on the text alone. A label that is
+    null, or of a document that isn't there, is not used.
+    """
+    return score_rows(docs, labels, column, folds, fold, threshold).drop("hash")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that are predicted good, with their columns; rows of one doc_id stay if any of them is good."""
-    good = score_documents(docs, labels, threshold=threshold).where("predicted = 1").select("doc_id").distinct()
-    return docs.alias("d").join(good.alias("v"), F.col("d.doc_id").eqNullSafe(F.col("v.doc_id")), "left_semi")
+    """The rows whose own text is predicted good, with their columns."""
+    good = score_rows(docs, labels, "quality", 5, 0, threshold).where("predicted = 1").select("doc_id", "hash").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("v.doc_id")) & (text_hash("d.text") == F.col("v.hash"))
+    return docs.alias("d").join(good.alias("v"), same, "left_semi")
 
 
 def crc(text: str) -> int:

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from corpusmill.llm import nearcopies
+from corpusmill.llm import nearcopies, quality
 
 DIR = "/root/testdata/sf0.01"
 
@@ -78,3 +78,28 @@ def test_stage_equals_brute_force(spark):
     want = [docs[i][0] for i, r in enumerate(plain_groups([t for _, t in docs])) if i == r]
     got = corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{DIR}/documents.parquet"), DIR).collect()
     assert sorted(r.doc_id for r in got) == want
+
+
+def sentence(k):
+    return " ".join(f"w{k}x{i}" for i in range(30))
+
+
+def test_rows_with_null_or_shared_ids(spark):
+    """Null ids and ids on two texts lose no group; of a group the smallest id stays, a null only alone."""
+    a, b, c, d, e, f = map(sentence, range(6))
+    rows = [(None, a), (None, b), (None, c), (5, d), (5, e), (7, c), (3, d), (8, f), (8, f), (None, f)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter(tuple(r) for r in nearcopies.keep_representatives(docs).collect())
+    assert got == collections.Counter([(None, a), (None, b), (7, c), (3, d), (5, e), (8, f)])
+
+
+def test_good_rows_do_not_keep_bad_ones(spark):
+    """A row stays by its own text, whatever other rows have its id."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    ids = {r.doc_id: r.predicted for r in quality.score_documents(docs, labels).collect()}
+    good, bad = min(i for i in ids if ids[i]), min(i for i in ids if not ids[i])
+    text = {r.doc_id: r.text for r in docs.where(docs.doc_id.isin(good, bad)).collect()}
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, text[good]), (10**6, text[bad]), (None, text[good]), (None, text[bad])], "doc_id long, text string"))
+    got = quality.keep_good(more, labels).where("doc_id = 1000000 OR doc_id IS NULL").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(10**6, text[good]), (None, text[good])], key=str)
