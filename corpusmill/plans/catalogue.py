@@ -65,7 +65,7 @@ def _model(name: str, **options):
     def query(spark: SparkSession, d: str) -> DataFrame:
         label = F.expr("cast(array_position(array('de','en','es','fr'), label_name) - 1 as double)")
         tr, te = (text.token_arrays(x).withColumn("label", label).select("doc_id", "tokens", "label") for x in (_train(spark, d), _test(spark, d)))
-        a, b = classify.counted_features(tr, te, weight=name != "NB", size=2000 if name in ("SVM", "LR", "BILR", "MLP", "DT", "RF") else 1 << 18)
+        a, b = classify.counted_features(tr, te, weight=name != "NB")
         more = dict(options)
         if name == "MLP":
             more["layers"] = [a.select("features").head()[0].size, 16, len(LANGS)]

@@ -138,3 +138,21 @@ def test_feature_job(spark, tmp_path):
     build_features(spark, str(tmp_path), None, f"{tmp_path}/out", True, "latin")
     assert train_model(spark, "NB", f"{tmp_path}/out/train", f"{tmp_path}/out/test", f"{tmp_path}/r.txt") == 1.0
     assert (tmp_path / "r.txt").read_text().startswith("Accuracy: 1.0")
+
+
+def test_models_see_the_whole_vocabulary(spark, monkeypatch):
+    """Every term in 10 or more training rows is a feature; 2,972 at sf0.01."""
+    from corpusmill.plans import catalogue
+
+    d, seen = "/root/testdata/sf0.01", {}
+
+    def note(name, train, test, **options):
+        seen[name] = (train.head().features.size, options.get("layers"))
+        return test.withColumn("prediction", F.lit(0.0))
+
+    monkeypatch.setattr(classify, "fit_predict", note)
+    names = ("nb", "lr", "svm", "bilr", "mlp", "tree", "forest")
+    for n in names:
+        catalogue.queries()[f"{n}_predict"](spark, d)
+    terms = text.terms(catalogue._train(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df >= 10").count()
+    assert len(seen) == len(names) and {size for size, _ in seen.values()} == {terms} and seen["MLP"][1][0] == terms
