@@ -76,10 +76,16 @@ def _model(name: str, **options):
 
 
 def _hashing(spark: SparkSession, d: str) -> DataFrame:
-    tr, te = (text.token_arrays(x) for x in (_train(spark, d), _test(spark, d)))
-    _, b = classify.hashed_features(tr, te, l1=True)
-    nnz = F.udf(lambda v: int(v.numNonzeros()), "int")
-    return b.select("doc_id", nnz("features").alias("nnz"))
+    """doc_id, nnz, slots, weights of every document; frequencies come from the training rows."""
+    tr, every = (text.token_arrays(x) for x in (_train(spark, d), _docs(spark, d)))
+    _, out = classify.hashed_features(tr, every, l1=True)
+
+    def entries(v):
+        some = [(int(i), float(x)) for i, x in zip(v.indices, v.values, strict=True) if x]
+        return len(some), [i for i, _ in some], [x for _, x in some]
+
+    cells = F.udf(entries, "nnz int, slots array<int>, weights array<double>")
+    return out.select("doc_id", cells("features").alias("f")).select("doc_id", "f.*")
 
 
 def _index_lines(spark: SparkSession, d: str) -> DataFrame:

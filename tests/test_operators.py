@@ -156,3 +156,26 @@ def test_models_see_the_whole_vocabulary(spark, monkeypatch):
         catalogue.queries()[f"{n}_predict"](spark, d)
     terms = text.terms(catalogue._train(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df >= 10").count()
     assert len(seen) == len(names) and {size for size, _ in seen.values()} == {terms} and seen["MLP"][1][0] == terms
+
+
+def test_hashing_covers_every_document(spark, tmp_path):
+    """Train and test rows and a null id each have their slots and weights."""
+    import math
+
+    from pyspark.ml.feature import HashingTF
+
+    from corpusmill.plans import catalogue
+
+    rows = [(i, f"aa bb{' cc' * (i % 3)} d{'xyz'[i % 3]}", "en") for i in range(10)] + [(None, "aa cc", "en"), (11, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in catalogue.queries()["hashing_tf"](spark, str(tmp_path)).collect()}
+    assert set(got) == {r[0] for r in rows}
+    slot, train = HashingTF(numFeatures=1 << 18).indexOf, [t.split() for i, t, _ in rows if i is not None and i % 5 and t] + [[]]
+    for i, t, _ in rows:
+        words, want = (t or "").split(), {}
+        for w in set(words):
+            x = words.count(w) / len(words) * math.log((len(train) + 1) / (sum(w in d for d in train) + 1))
+            want |= {slot(w): x} if x else {}
+        r = got[i]
+        assert r.nnz == len(want) and r.slots == sorted(want)
+        assert all(abs(x - want[s]) < 1e-12 for s, x in zip(r.slots, r.weights, strict=True))
