@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import text_hash, text_of
 from corpusmill.llm.simhash import label_components, shingle_hashes
-from corpusmill.session import materialise
+from corpusmill.session import forget, materialise
 
 #: Words a shingle; the least similarity is NUM / DEN.
 SHINGLE, NUM, DEN = 5, 4, 5
@@ -98,6 +98,7 @@ def labels(docs: DataFrame) -> DataFrame:
     every = materialise(prefixes(docs), "prefixes")
     shared = every.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     postings = materialise(every.join(shared, "token"), "postings")
+    forget(every)
     met = postings.select("node").distinct()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,6 +123,8 @@ def labels(docs: DataFrame) -> DataFrame:
         if label is None or found.head(1):
             edges = found if edges is None else edges.unionByName(found)
             label = label_components(edges)
+    for done in (postings, sets, some):
+        forget(done)
     return label
 
 
