@@ -14,7 +14,6 @@ with distributed prefix sums, and take their place from the run that holds the r
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +25,8 @@ from corpusmill.llm.common import text_of
 from corpusmill.llm.tokenizing import ids_of
 from corpusmill.session import materialise
 
+#: Bytes of ids that a worker holds before it hands pieces on.
+HELD = 1 << 24
 #: Rows of one length that one task numbers, about.
 ROWS_A_RANGE = 50_000
 
@@ -42,23 +43,33 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = ids_of(tokenizer)
         for b in batches:
-            out = defaultdict(list)
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = encode(text.as_py()) + end
-                n = len(data) // 4
-                at = [0, *range(n % capacity or capacity, n, capacity), n]
-                for k, (x, y) in enumerate(zip(at, at[1:], strict=False)):
-                    own = data[4 * x : 4 * y]
-                    for name, v in (("doc_id", doc), ("piece", k), ("start", x), ("length", y - x), ("ids_crc32", zlib.crc32(own))):
-                        out[name].append(v)
-                    if with_ids:
-                        out["ids"].append(own)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), types, strict=False)], names=list(out)) if out else pa.record_batch([pa.array([], t) for t in types[: 5 + with_ids]], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
+            row, held, size = 0, [], 0
+            for text in b.column(1):
+                held.append(encode(text.as_py()))
+                size += len(held[-1])
+                if size >= HELD or row + len(held) == b.num_rows:
+                    yield _cut(b.column(0).slice(row, len(held)), held, capacity, end, with_ids)
+                    row, held, size = row + len(held), [], 0
 
     return docs.select("doc_id", text_of()).mapInArrow(cut, schema)
 
 
+def _cut(doc: pa.Array, encoded: list[bytes], capacity: int, end: bytes, with_ids: bool) -> pa.RecordBatch:
+    """The pieces of some documents, given their ids without the end id."""
+    flat = memoryview(end.join([*encoded, b""]))
+    n = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4 + 1
+    some = -(-n // capacity)
+    own = np.repeat(np.arange(len(n)), some)
+    piece = np.arange(len(own)) - np.repeat(np.cumsum(some) - some, some)
+    first = n - (some - 1) * capacity
+    start = np.where(piece > 0, first[own] + (piece - 1) * capacity, 0)
+    length = np.where(piece > 0, capacity, first[own])
+    lo = (np.cumsum(n) - n)[own] + start
+    cuts = [flat[a:b] for a, b in zip((4 * lo).tolist(), (4 * (lo + length)).tolist(), strict=True)]
+    columns = [doc.take(pa.array(own)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(map(zlib.crc32, cuts), pa.int64())]
+    return pa.record_batch([*columns, *([pa.array(map(bytes, cuts), pa.binary())] if with_ids else [])], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """Runs (length, first rank, last rank + 1, first sequence, documents a sequence, offset of the first)."""
     gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]

@@ -4,41 +4,69 @@ Both kinds of file split a text before the merges run, at places that depend onl
 characters around them. A text is cut at single spaces and line feeds between other
 characters, which always are such places; the ids of each part come from a table that the
 tokenizers library's own model fills. A text where two white-space characters meet, or at
-whose ends white space or a zero character stands, goes through the library as a whole.
+whose ends white space or a zero character stands, goes through the library as a whole; so
+does one with a character that is not as old as Unicode 3.2, as libraries of different age
+class, compose or lower-case such characters differently.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
+from functools import cache
 
-import numpy as np
+import regex
 
-#: Entries of each table; beyond it a part is computed again each time.
-TABLE = 300_000
+#: Entries of a worker's table, and characters of a part that it may keep; any other part is computed each time.
+TABLE, LONGEST = 1_200_000, 40
 #: The byte-level alphabet, bytes that stand for themselves and then the others from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_BYTES = "".join(_ALPHABET[b] for b in range(256))
 #: How the two kinds of file split a text.
 _BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ODD = re.compile(r"\s\s|\0")
 
 
+@cache
+def stable_characters() -> frozenset[str]:
+    """Characters whose class and case no library disagrees on: those of Unicode 3.2, without odd white space and controls."""
+    old = unicodedata.ucd_3_2_0.category
+    return frozenset(c for c in map(chr, range(0x110000)) if c in "\n " or old(c)[0] not in "CZ") - {"İ", "Σ"}
+
+
+class Unsure(Exception):
+    """A part holds a character that is not stable."""
+
+
+class _Parts(dict):
+    """part -> its ids; what is missing is computed and kept while there is room."""
+
+    def __init__(self, ids, size: int):
+        self.ids, self.room = ids, size
+
+    def __missing__(self, part: str) -> bytes:
+        got = self.ids(part)
+        if len(self) < self.room and len(part) <= LONGEST:
+            self[part] = got
+        return got
+
+
 class Ids:
     """text -> ids as little-endian unsigned 32-bit bytes, without special tokens."""
 
     def __init__(self, path: str, table: int = TABLE):
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.size = self.whole.get_vocab_size()
-        self.model, self.table = self.whole.model, table
+        self.model = self.whole.model
         self.marks = [t["content"] for t in spec.get("added_tokens", [])]
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         parts = pre.get("pretokenizers", [])
@@ -49,43 +77,41 @@ class Ids:
         else:
             self.lower, split = False, None
         self.split = split and regex.compile(split).findall
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks = _Parts(self._chunk, table)
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = np.array([t.id for t in self.model.tokenize("".join([_ALPHABET[b] for b in piece.encode()]))], "<u4").tobytes()
-            if len(self.pieces) < self.table:
-                self.pieces[piece] = got
-        return got
+        own = piece if piece.isascii() else piece.encode().decode("latin-1")
+        return array("I", [t.id for t in self.model.tokenize(own.translate(_BYTES))]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        got = b"".join([self._piece(p) for p in self.split(chunk)])
-        if len(self.chunks) < self.table:
-            self.chunks[chunk] = got
-        return got
+        if chunk.isascii() and (chunk[1:] if chunk[:1] == " " else chunk).isalpha():  # one piece
+            return self._piece(chunk)
+        if not stable_characters().issuperset(chunk):
+            raise Unsure
+        pieces = self.split(chunk)
+        return b"".join([self.chunks[p] for p in pieces]) if len(pieces) > 1 else self._piece(chunk)
 
     def _plainly(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.split is None or any(m in text for m in self.marks):
+        if self.split is None or any([m in text for m in self.marks]):
             return self._plainly(text)
         if self.lower:
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text)
-                if "Σ" in text or "İ" in text:  # capitals that Python lower-cases by what stands around them
-                    return self._plainly(text)
-            parts = text.lower().replace("\n", " ").split(" ")
+            own = text if text.isascii() else unicodedata.normalize("NFC", text)
+            if "Σ" in own or "İ" in own:  # capitals that Python lower-cases by what stands around them
+                return self._plainly(text)
+            parts = own.lower().replace("\n", " ").split(" ")
         elif text[0].isspace() or text[-1].isspace() or _ODD.search(text):
             return self._plainly(text)
         else:
             parts = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        get, chunk = self.chunks.get, self._chunk
-        return b"".join([get(p) or chunk(p) for p in parts])
+        try:
+            return b"".join(map(self.chunks.__getitem__, parts))
+        except Unsure:
+            return self._plainly(text)
 
 
 _LOADED: dict[str, Ids] = {}

@@ -366,3 +366,15 @@ def test_pipeline(spark):
     for r in rows:
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= 1024 and sum(fill.values()) > 0.98 * 1024 * (len(fill) - 1)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_ids_of_every_character(path):
+    """Every code point in the places where it could change how a text is split; of the planes above 1, which go to the library as they are, some."""
+    own = Ids(path)
+    off = []
+    for n in [*range(0xD800), *range(0xE000, 0x20000), *range(0x20000, 0x110000, 977)]:
+        t = "a{0}b {0} x{0} {0}y 1{0}2".format(chr(n))
+        if own(t) != np.array(own.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes():
+            off.append(hex(n))
+    assert not off
