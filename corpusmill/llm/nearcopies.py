@@ -1,11 +1,14 @@
-"""Near copies by Jaccard similarity of word shingles, exact.
-
-Two texts are linked if their sets of five-word shingles have a similarity of 0.8 or more.
-Such sets share a shingle among the first fifth of each in any common order (prefix
-filter); the order takes common shingles last, so that a line which many texts have brings
-few of them together. Candidates are compared by their whole sets. A star round, each text
-of a bucket against one, joins large groups first; then all pairs that are still in
-different components are compared.
+"""Operator 6 on similarity: texts whose sets of five-word shingles are 0.8 alike or more, exact.
+
+Fingerprints of the same shingles go through the vantage-point tree of ``simhash``; what it
+links at its radius is checked by the whole sets and joined first, so that large groups of
+copies are one component before anything else meets. At 0.8 alike two fingerprints differ in
+10 of 64 bits on average and in up to 18 or so, a radius at which the tree's bounds prune
+nothing; so the links beyond the tree's radius are found by shingles: similar sets share one
+among the first fifth of each in any common order (prefix filter), and the order takes
+common shingles last, so that a line which many texts have brings few of them together. A
+star round, each text of a bucket against one, comes first; then all pairs that are still in
+different components are compared. Whole sets decide every link.
 """
 
 from __future__ import annotations
@@ -18,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import text_hash, text_of
-from corpusmill.llm.simhash import label_components, shingle_hashes
+from corpusmill.llm.simhash import bits, label_components, links, shingle_hashes
 from corpusmill.session import forget, materialise
 
 #: Words a shingle; the least similarity is NUM / DEN.
 SHINGLE, NUM, DEN = 5, 4, 5
 #: Star rounds; shingles that the order takes last at most, and the count in a table that makes one such. These bound the work, not the links.
 STARS, HOT, OFTEN = 1, 200_000, 20
+#: Texts to compare, up to which their names are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -49,41 +54,64 @@ def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[at], n[at]
 
 
-def prefixes(docs: DataFrame) -> DataFrame:
-    """node, n (size of the set), pos, token: the shingles by which a text meets others."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """node, n (size of the set), fp, tokens (the shingles by which a text meets others, in order) of each different text."""
     hot, often = common(docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, tokens = [], []
+            sizes, fps, tokens = [], [], []
             for t in b.column(1):
-                h = shingle_set(t.as_py())
+                all_ = shingle_hashes(t.as_py(), SHINGLE)
+                h = np.unique(all_) if len(all_) else np.zeros(1, "<u8")
                 rank = np.zeros(len(h), np.int64)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
                     rank = np.where(hot[at] == h, often[at], 0)
                 sizes.append(len(h))
+                fps.append(bits(all_))
                 tokens.append(h[np.lexsort((h, rank))][: len(h) - -(-NUM * len(h) // DEN) + 1].view(np.int64))
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
+            fp = pa.array(np.array(fps, np.uint64).view(np.int64))
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int32()), fp, pa.array(tokens, pa.list_(pa.int64()))], names=["node", "n", "fp", "tokens"])
 
-    one = docs.select(text_hash().alias("node"), text_of()).mapInArrow(work, "node long, n int, tokens array<long>").dropDuplicates(["node"])
-    return one.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
+    return docs.select(text_hash().alias("node"), text_of()).mapInArrow(work, "node long, n int, fp long, tokens array<long>").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b whose whole sets are similar."""
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs a, b (hashes of texts) whose whole sets are similar, as a table."""
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    met = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["node", "hashes"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(DEN * both >= NUM * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(work, "a long, b long")
+    few = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
+    texts = docs.select(text_hash().alias("node"), text_of().alias("text")).join(few, "node", "left_semi").dropDuplicates(["node"])
+    own = materialise(texts.mapInArrow(sets, "node long, hashes binary"), "sets")
+    left, right = (own.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in ("a", "b"))
+    found = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(work, "a long, b long"), "links")
+    for done in (pairs, met, own):
+        forget(done)
+    return found
+
+
+def tree_pairs(every: DataFrame) -> DataFrame:
+    """Pairs of texts that the tree links: those of one fingerprint with its least text, and the least texts of near fingerprints."""
+    least = materialise(every.groupBy("fp").agg(F.min("node").alias("least")), "least")
+    near = links(least)
+    a, b = (least.select(F.col("fp").alias(x), F.col("least").alias(f"l{x}")) for x in ("a", "b"))
+    far = near.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    return far.unionByName(every.join(least, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
 
 
 def possible(x: str, y: str) -> Column:
@@ -95,36 +123,33 @@ def possible(x: str, y: str) -> Column:
 
 def labels(docs: DataFrame) -> DataFrame:
     """node, label of every text that has a near copy (its own component's texts have the same label)."""
-    every = materialise(prefixes(docs), "prefixes")
-    shared = every.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    postings = materialise(every.join(shared, "token"), "postings")
+    every = materialise(signatures(docs), "signatures")
+    edges = verified(tree_pairs(every), docs)
+    label = label_components(edges)
+    rows = every.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
+    shared = materialise(rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "shared")
+    postings = materialise(rows.join(shared, "token"), "postings")
     forget(every)
-    met = postings.select("node").distinct()
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["node", "hashes"])
-
-    texts = docs.select(text_hash().alias("node"), text_of().alias("text")).join(met, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialise(texts.mapInArrow(work, "node long, hashes binary"), "sets")
-    edges, label = None, None
+    forget(shared)
     for r in range(STARS + 1):
-        now = postings.withColumn("comp", F.col("node")) if label is None else postings.join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+        now = postings.join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
         seat = F.struct(F.xxhash64("node", F.lit(r)), "node", "n", "pos", "comp")
         mixed = now.groupBy("token").agg(F.min(seat).alias("s"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        some = None
         if r < STARS:
             other = mixed.select("token", "s.node", "s.n", "s.pos", "s.comp")
             pairs = now.alias("x").join(other.alias("y"), "token").where(possible("x", "y"))
         else:
             some = materialise(now.join(mixed.select("token"), "token", "left_semi"), "mixed")
             pairs = some.alias("x").join(some.alias("y"), "token").where((F.col("x.node") < F.col("y.node")) & possible("x", "y"))
-        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        found = materialise(verified(pairs, sets), "links")
-        if label is None or found.head(1):
-            edges = found if edges is None else edges.unionByName(found)
-            label = label_components(edges)
-    for done in (postings, sets, some):
-        forget(done)
+        found = verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), docs)
+        if some is not None:
+            forget(some)
+        if found.head(1):
+            edges = edges.unionByName(found)
+            before, label = label, label_components(edges)
+            forget(before)
+    forget(postings)
     return label
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import text_of
-from corpusmill.session import materialise
+from corpusmill.session import forget, materialise
 
 SEED, RADIUS, SHINGLE = 42, 3, 3
 #: Distinct fingerprints a leaf, about; fingerprints that the tree is built from at most.
@@ -45,7 +45,11 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
     """64 bits, each 1 if over half the shingles' XXH64 have it; 0 without words."""
-    a = shingle_hashes(text, size)
+    return bits(shingle_hashes(text, size))
+
+
+def bits(a: np.ndarray) -> int:
+    """Of 64 bits those that over half the hashes have."""
     total = np.zeros(64, np.int64)
     for i in range(0, len(a), 1 << 16):
         total += np.unpackbits(a[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -170,10 +174,11 @@ def label_components(edges: DataFrame) -> DataFrame:
         low = now.join(near, now["node"] == near["a"]).select("node", "label", F.least("label", "m").alias("new"))
         up = now.select(F.col("node").alias("new"), F.col("label").alias("up"))
         after = materialise(low.join(up, "new", "left").select("node", F.coalesce("up", "new").alias("label"), (F.coalesce("up", "new") != F.col("label")).alias("changed")), "labels")
-        done = not after.where("changed").head(1)
-        now = after.select("node", "label")
-        if done:
-            return now
+        forget(now)
+        now = after
+        if not after.where("changed").head(1):
+            forget(both)
+            return now.select("node", "label")
 
 
 def components(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, leaf: int = LEAF) -> DataFrame:
