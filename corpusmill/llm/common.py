@@ -26,3 +26,10 @@ def text_hash(column: str = "text") -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the struct ``row``, with the text of the column beside it; n_chars, where there is one, follows the text."""
+    n = F.when(F.col("text").isNull(), F.col("row").getField("n_chars")).otherwise(F.length("text").cast("long")) if "n_chars" in columns else None
+    own = {"text": F.col("text"), "n_chars": n}
+    return rows.select(*[(own[c] if c in own else F.col("row").getField(c)).alias(c) for c in columns])

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import WORD, text_of
+from corpusmill.llm.common import WORD, text_of, with_text
 from corpusmill.session import materialise
 
 #: Rows that one task sorts, about.
@@ -87,17 +87,16 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
 
     The document at a source's cut comes with its first words alone; n_chars, where there is
     such a column, follows. Documents that the mix leaves out or that have no words go.
+    Columns of any name pass through.
     """
     key = [random_key(seed).alias("__key"), F.xxhash64("text").alias("__tie")]
     sized = materialise(docs.select("doc_id", "source", words(text_of()).alias("size"), *key), "sizes")
     taken = _mixed(sized, weights, share, cap).select("doc_id", "__key", "__tie", "__s", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
     # Rows alike in key, text and source differ in taken at a cut only: numbered, each meets its own.
     same = Window.partitionBy("__key", "__tie", "__s").orderBy("doc_id")
-    left = docs.select("*", *key, F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__s")).withColumn("__i", F.row_number().over(same))
+    left = docs.select(F.struct("*").alias("row"), "doc_id", "text", *key, F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__s")).withColumn("__i", F.row_number().over(same))
     right = taken.withColumn("__i", F.row_number().over(Window.partitionBy("__key", "__tie", "__s").orderBy("doc_id", F.desc("__taken")))).drop("doc_id")
     rows = left.join(right, ["__key", "__tie", "__s", "__i"]).where("__taken > 0")
     parts = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__taken") - 1) / F.col("__size"))), lambda e: F.least(F.col("__size"), F.col("__taken") - e * F.col("__size")))
     out = rows.withColumn("__part", F.explode(parts)).withColumn("text", F.when(F.col("__part") < F.col("__size"), first_words(F.col("text"), F.col("__part"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return with_text(out.select("row", "text"), docs.columns)

@@ -7,14 +7,14 @@ import corpus_pipeline
 from corpusmill.llm import fingerprints, media, mixing, packing, quality, secrets, simhash, suffixes, tokenfiles, toxicity
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, __r int, length int, score double, label string, fp long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, __r int, length int, score double, label string, fp long, __id int, __rules int, __spans int, __key int, __taken int, __s int, __i int, __tie int, __part int, __size int, row int"
 LINE = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf "
 
 
 def rows():
     texts = [None, "", " \n\t", "a", LINE * 3, LINE * 3, LINE.upper(), "x" * 3000, "é ü 体育 \0 " * 40, LINE * 700, "token = abcdefghijklmnop1234 " + LINE]
-    out = [(i, t, "en", None if i % 4 == 3 else f"s{i % 3}", None if t is None else len(t), 1, 2, 3, 0.5, "z", 9) for i, t in enumerate(texts)]
-    return [*out, out[4], out[4], (None, LINE, None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None)]
+    out = [(i, t, "en", None if i % 4 == 3 else f"s{i % 3}", None if t is None else len(t), 1, 2, 3, 0.5, "z", 9, *range(11)) for i, t in enumerate(texts)]
+    return [*out, out[4], out[4], (None, LINE, *[None] * 20), (None, *[None] * 21)]
 
 
 @pytest.fixture(scope="module")
