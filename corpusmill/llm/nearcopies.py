@@ -6,9 +6,11 @@ copies are one component before anything else meets. At 0.8 alike two fingerprin
 10 of 64 bits on average and in up to 18 or so, a radius at which the tree's bounds prune
 nothing; so the links beyond the tree's radius are found by shingles: similar sets share one
 among the first fifth of each in any common order (prefix filter), and the order takes
-common shingles last, so that a line which many texts have brings few of them together. A
-star round, each text of a bucket against one, comes first; then all pairs that are still in
-different components are compared. Whole sets decide every link.
+common shingles last, so that a line which many texts have brings few of them together. Star
+rounds, each text of a bucket against one of it, come first; then all pairs that are still
+in different components are compared. No pair is compared twice, and whole sets decide every
+link. Components are contracted after each round, so what is labelled is a pair of
+components, not of texts.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from corpusmill.session import forget, materialise
 
 #: Words a shingle; the least similarity is NUM / DEN.
 SHINGLE, NUM, DEN = 5, 4, 5
-#: Star rounds; shingles that the order takes last at most, and the count in a table that makes one such. These bound the work, not the links.
-STARS, HOT, OFTEN = 1, 200_000, 20
+#: Star rounds at most (one that links nothing is the last); shingles that the order takes last at most, and the count in a table that makes one such. These bound the work, not the links.
+STARS, HOT, OFTEN = 2, 200_000, 20
+#: Texts of a bucket from which its pairs are compared in blocks and not as rows; texts a block, about.
+LARGE, BLOCK = 48, 400
 #: Texts to compare, up to which their names are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -77,15 +81,71 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(text_hash().alias("node"), text_of()).mapInArrow(work, "node long, n int, fp long, tokens array<long>").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs a, b (hashes of texts) whose whole sets are similar, as a table."""
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    met = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
+def sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, hashes (the set, as bytes) of the nodes given, as a table."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["node", "hashes"])
 
+    met = materialise(nodes.distinct(), "met")
+    few = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
+    texts = docs.select(text_hash().alias("node"), text_of().alias("text")).join(few, "node", "left_semi").dropDuplicates(["node"])
+    own = materialise(texts.mapInArrow(sets, "node long, hashes binary"), "sets")
+    forget(met)
+    return own
+
+
+def _compare(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links between the texts of two blocks of a bucket (or within one), as a spanning forest over their components."""
+    token, i, j = (k.as_py() for k in key)
+    nodes, comp, block = (rows.column(c).to_pylist() for c in ("node", "comp", "block"))
+    whole = [frozenset(np.frombuffer(x.as_buffer(), "<u8").tolist()) for x in rows.column("hashes")]
+    # A pair is compared in the bucket of the least token that both have.
+    lower = [frozenset(t for t in x if t < token) for x in rows.column("tokens").to_pylist()]
+    parent = {c: c for c in comp}
+
+    def find(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    left = [k for k, b in enumerate(block) if b == i]
+    right = left if i == j else [k for k, b in enumerate(block) if b == j]
+    found = []
+    for x in left:
+        own, low, n = whole[x], lower[x], len(whole[x])
+        for y in right:
+            m = len(whole[y])
+            if (i != j or x < y) and DEN * min(n, m) >= NUM * max(n, m) and low.isdisjoint(lower[y]) and find(comp[x]) != find(comp[y]):
+                both = len(own & whole[y])
+                if DEN * both >= NUM * (n + m - both):
+                    found.append((nodes[x], nodes[y]))
+                    parent[find(comp[x])] = find(comp[y])
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def in_blocks(rows: DataFrame, postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b: links among the texts of large buckets (token, node, comp, k texts). Two blocks of a bucket meet in one task; only links are rows."""
+    met = rows.select("node").distinct()
+    own = sets_of(met, docs).join(postings.join(met, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("tokens")), "node")
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = dealt.select("token", "node", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block")
+    return materialise(cells.join(own, "node").groupBy("token", "i", "j").applyInArrow(_compare, "a long, b long"), "links")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, tested: list[DataFrame]) -> DataFrame:
+    """The pairs a, b (hashes of texts) whose whole sets are similar, as a table; pairs tested before go, and these join them."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for t in tested:
+        pairs = pairs.join(t, ["a", "b"], "left_anti")
+    pairs = materialise(pairs, "pairs")
+    tested.append(pairs)
+    own = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -95,13 +155,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(DEN * both >= NUM * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    few = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
-    texts = docs.select(text_hash().alias("node"), text_of().alias("text")).join(few, "node", "left_semi").dropDuplicates(["node"])
-    own = materialise(texts.mapInArrow(sets, "node long, hashes binary"), "sets")
     left, right = (own.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in ("a", "b"))
     found = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(work, "a long, b long"), "links")
-    for done in (pairs, met, own):
-        forget(done)
+    forget(own)
     return found
 
 
@@ -121,35 +177,52 @@ def possible(x: str, y: str) -> Column:
     return (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & (rest * (NUM + DEN) >= NUM * (n + m)) & (F.col(f"{x}.comp") != F.col(f"{y}.comp"))
 
 
+def joined(label: DataFrame, links_: DataFrame) -> DataFrame:
+    """node, label once the links join components."""
+    to = [label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b")]
+    ends = links_.join(to[0], "a", "left").join(to[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    up = label_components(ends.where("a <> b").distinct())
+    moved = label.join(up.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+    return materialise(moved.unionByName(up.join(label, "node", "left_anti")), "joined")
+
+
 def labels(docs: DataFrame) -> DataFrame:
     """node, label of every text that has a near copy (its own component's texts have the same label)."""
     every = materialise(signatures(docs), "signatures")
-    edges = verified(tree_pairs(every), docs)
-    label = label_components(edges)
+    tested: list[DataFrame] = []
+    label = label_components(verified(tree_pairs(every), docs, tested))
     rows = every.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = materialise(rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "shared")
     postings = materialise(rows.join(shared, "token"), "postings")
     forget(every)
     forget(shared)
-    for r in range(STARS + 1):
+    stars = STARS
+    while True:
         now = postings.join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-        seat = F.struct(F.xxhash64("node", F.lit(r)), "node", "n", "pos", "comp")
+        seat = F.struct(F.xxhash64("node", F.lit(stars)), "node", "n", "pos", "comp")
         mixed = now.groupBy("token").agg(F.min(seat).alias("s"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        some = None
-        if r < STARS:
+        if stars:
             other = mixed.select("token", "s.node", "s.n", "s.pos", "s.comp")
             pairs = now.alias("x").join(other.alias("y"), "token").where(possible("x", "y"))
         else:
             some = materialise(now.join(mixed.select("token"), "token", "left_semi"), "mixed")
+            large = some.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > LARGE)
+            found = in_blocks(some.join(large, "token").select("token", "node", "comp", "k"), postings, docs)
+            if found.head(1):
+                label = joined(label, found)
+            some = some.join(large, "token", "left_anti")
             pairs = some.alias("x").join(some.alias("y"), "token").where((F.col("x.node") < F.col("y.node")) & possible("x", "y"))
-        found = verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), docs)
-        if some is not None:
-            forget(some)
-        if found.head(1):
-            edges = edges.unionByName(found)
-            before, label = label, label_components(edges)
+        found = verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), docs, tested)
+        any_ = bool(found.head(1))
+        if any_:
+            before, label = label, joined(label, found)
             forget(before)
-    forget(postings)
+        forget(found)
+        if not stars:
+            break
+        stars = stars - 1 if any_ else 0
+    for t in (postings, *tested):
+        forget(t)
     return label
 
 

@@ -62,8 +62,11 @@ def made():
     return out
 
 
-@pytest.mark.parametrize(("often", "stars"), [(20, 2), (2, 0)])
-def test_components_equal_brute_force(spark, monkeypatch, often, stars):
+@pytest.mark.parametrize(("often", "stars", "large", "block"), [(20, 2, 48, 400), (2, 0, 3, 7)])
+def test_components_equal_brute_force(spark, monkeypatch, often, stars, large, block):
+    """Also without star rounds and with buckets of over three texts compared in blocks."""
+    monkeypatch.setattr(nearcopies, "LARGE", large)
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
     monkeypatch.setattr(nearcopies, "OFTEN", often)
     monkeypatch.setattr(nearcopies, "STARS", stars)
     texts = made()
