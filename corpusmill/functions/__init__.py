@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +18,43 @@ def tokens(text: Column) -> Column:
     return F.filter(parts, lambda t: t != "")
 
 
+def segmented(text: Column, cut: Callable[[str], list[str]]) -> Column:
+    """Words of a text by a segmenter of the caller's, for scripts without spaces; a null text has none.
+
+    ``cut`` runs on the executors, a batch of texts at a time.
+    """
+
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [w for w in cut(t or "") if w])
+
+    return words(text)
+
+
+def longest_match(words: Iterable[str]) -> Callable[[str], list[str]]:
+    """A segmenter: runs of letters, each cut from the left into the longest words of the list, else single characters in CJK runs."""
+    import regex
+
+    known = {w.lower() for w in words}
+    longest = max(map(len, known), default=1)
+    runs, cjk = regex.compile(r"\p{L}+"), regex.compile(SCRIPTS["cjk"])
+
+    def cut(text: str) -> list[str]:
+        out = []
+        for run in runs.findall(text.lower()):
+            at = 0
+            if not cjk.match(run):
+                out.append(run)
+                continue
+            while at < len(run):
+                n = next((k for k in range(min(longest, len(run) - at), 1, -1) if run[at : at + k] in known), 1)
+                out.append(run[at : at + n])
+                at += n
+        return out
+
+    return cut
+
+
 def in_script(term: Column, script: str | None) -> Column:
     return F.lit(True) if script is None else term.rlike(SCRIPTS.get(script, script))
 
@@ -34,6 +74,11 @@ def idf_plain(n_docs: Column, df: Column) -> Column:
     return F.log(n_docs.cast("double") / (df + 1))
 
 
+def idf_single(n_docs: Column, df: Column) -> Column:
+    """ln(N / (df + 1)) with a single-precision ratio, as a single-precision number."""
+    return F.log((n_docs.cast("float") / (df + 1).cast("float")).cast("float").cast("double")).cast("float")
+
+
 def idf_smooth(n_docs: Column, df: Column) -> Column:
     """ln((N + 1) / (df + 1)); never negative."""
     return F.log((n_docs + 1).cast("double") / (df + 1))

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that one task numbers, about.
+ROWS_A_RANGE = 250_000
+
+
 def range_bounds(df: DataFrame, key: Column, parts: int) -> list:
     """At most parts - 1 increasing cut points of a numeric key: approximate quantiles, found in one aggregation."""
     if parts < 2:
@@ -34,7 +38,7 @@ def with_position(df: DataFrame, order: list[Column], key: Column, name: str = "
     order get distinct positions in no fixed order.
     """
     spark = df.sparkSession
-    parts = parts or min(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_A_RANGE))
     dealt = df.withColumn("__range", range_bucket(key, range_bounds(df, key, parts)))
     sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))

@@ -6,12 +6,12 @@ join is inner and the document side outer: a document without terms stays a docu
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions import in_script, tokens, utf8_prefix
+from corpusmill.functions import in_script, segmented, tokens, utf8_prefix
 from corpusmill.operators.ranking import with_position
 
 
@@ -36,8 +36,14 @@ def label_index(docs: DataFrame) -> DataFrame:
     return names.select("label_name", (F.dense_rank().over(Window.orderBy("label_name")) - 1).cast("long").alias("label"))
 
 
-def token_arrays(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("tokens", tokens(F.col("text")))
+def token_arrays(docs: DataFrame, cut: Callable[[str], list[str]] | None = None) -> DataFrame:
+    """Adds tokens: lower-cased runs of letters, or the words of a segmenter."""
+    return docs.withColumn("tokens", segmented(F.col("text"), cut) if cut else tokens(F.col("text")))
+
+
+def prefix_label(name: Column, n: int = 2) -> Column:
+    """The class that the first characters of a file's name state; folders before it do not count."""
+    return F.substring(F.element_at(F.split(name, "/"), -1), 1, n)
 
 
 def without_stopwords(docs: DataFrame, words: Iterable[str], column: str = "tokens") -> DataFrame:

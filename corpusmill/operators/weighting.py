@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions import idf_plain, idf_smooth, java_hash
+from corpusmill.functions import idf_plain, idf_single, idf_smooth, java_hash
 
 
 def idf(vocab: DataFrame, n_docs: DataFrame, kind: str = "smooth") -> DataFrame:
-    """term, idf. ``smooth``: ln((N+1)/(df+1)); ``plain``: ln(N/(df+1)). n_docs is one row."""
-    weight = {"smooth": idf_smooth, "plain": idf_plain}[kind]
+    """term, idf. ``smooth``: ln((N+1)/(df+1)); ``plain``: ln(N/(df+1)); ``single``: the same in single precision. n_docs is one row."""
+    weight = {"smooth": idf_smooth, "plain": idf_plain, "single": idf_single}[kind]
     return vocab.crossJoin(F.broadcast(n_docs)).select("term", weight(F.col("n_docs"), F.col("df")).alias("idf"))
 
 

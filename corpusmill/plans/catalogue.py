@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions import longest_match
 from corpusmill.operators import classify, ovr, sampling, text, weighting
-from corpusmill.sources import corpus, count_documents, index_lines, parquet
+from corpusmill.session import materialise
+from corpusmill.sources import corpus, count_documents, index_lines, parquet, parse_score_lines, score_lines
 
 #: Classes of the driver's corpus.
 LANGS = ["de", "en", "es", "fr"]
@@ -29,6 +31,11 @@ def _test(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("doc_id % 5 = 0")
 
 
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, term, n as a table: a query that needs them more than once splits every text once."""
+    return materialise(text.terms(_docs(spark, d)), "terms")
+
+
 def _vocab(spark: SparkSession, d: str) -> DataFrame:
     return text.vocabulary(text.terms(_docs(spark, d)))
 
@@ -36,23 +43,59 @@ def _vocab(spark: SparkSession, d: str) -> DataFrame:
 def _idf(kind: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         out = weighting.idf(_vocab(spark, d), count_documents(_docs(spark, d)), kind)
-        return out.select("term", F.round("idf", 6).alias("idf"))
+        return out.select("term", F.round(F.col("idf").cast("double"), 6).alias("idf"))
 
     return query
 
 
-def _weighted(spark: SparkSession, d: str, l1: bool) -> DataFrame:
-    docs = _docs(spark, d)
-    tf = text.terms(docs)
-    vocab = text.vocabulary(tf)
-    counts = weighting.tf_counts(tf, vocab)
-    weights = weighting.idf(vocab, count_documents(docs))
-    return weighting.weigh(weighting.tf_l1(counts), weights, "ntf") if l1 else weighting.weigh(counts, weights, "n")
+def _weighted(spark: SparkSession, d: str, l1: bool, tf: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
+    """Terms outside the vocabulary have no weight, so the join with the weights is the filter too, but for L1, which sums kept terms."""
+    tf = tf or _terms(spark, d)
+    vocab = vocab or text.vocabulary(tf)
+    weights = weighting.idf(vocab, count_documents(_docs(spark, d)))
+    return weighting.weigh(weighting.tf_l1(weighting.tf_counts(tf, vocab)), weights, "ntf") if l1 else weighting.weigh(tf, weights, "n")
+
+
+def _indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(weighted entries, index of the vocabulary), from one split of the texts."""
+    tf = _terms(spark, d)
+    vocab = materialise(text.vocabulary(tf), "vocabulary")
+    return _weighted(spark, d, False, tf, vocab), text.vocab_index(vocab)
 
 
 def _bow(spark: SparkSession, d: str) -> DataFrame:
-    index = text.vocab_index(_vocab(spark, d))
-    return weighting.bow_string(_docs(spark, d), _weighted(spark, d, False), index)
+    return weighting.bow_string(_docs(spark, d), *_indexed(spark, d))
+
+
+def _vocab_index(spark: SparkSession, d: str) -> DataFrame:
+    return text.vocab_index(materialise(_vocab(spark, d), "vocabulary"))
+
+
+def _kept(spark: SparkSession, d: str) -> DataFrame:
+    tf = _terms(spark, d)
+    return text.kept_counts(_docs(spark, d), tf, text.vocabulary(tf))
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    tf = _terms(spark, d)
+    return weighting.tf_counts(tf, text.vocabulary(tf))
+
+
+def _slot_sums(spark: SparkSession, d: str) -> DataFrame:
+    weighted, index = _indexed(spark, d)
+    return weighting.hash_slots(weighted.join(index, "term")).withColumn("val", F.round("val", 6))
+
+
+def _segmented(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, term, n by a segmenter with a word list."""
+    rows = text.token_arrays(_docs(spark, d), longest_match(["体育", "新闻"])).select("doc_id", F.explode("tokens").alias("term"))
+    return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _score_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Scores as lines, parsed again, least score first."""
+    back = parse_score_lines(score_lines(_scores(spark, d)))
+    return ovr.argmin_class(_docs(spark, d), back.select(F.col("doc").cast("long").alias("doc_id"), "cls", "score"), N_CLASSES)
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
@@ -108,21 +151,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_terms": lambda s, d: text.top_terms(_docs(s, d), 100),
         "script_filter": lambda s, d: text.script_terms(_docs(s, d), "latin"),
         "vocabulary": _vocab,
-        "vocab_index": lambda s, d: text.vocab_index(_vocab(s, d)),
+        "vocab_index": _vocab_index,
+        "segmented_tokens": _segmented,
+        "prefix_label": lambda s, d: _docs(s, d).select("doc_id", text.prefix_label(F.concat("label_name", F.lit("-"), "doc_id")).alias("label_name")),
+        "score_lines": _score_lines,
+        "idf_single": _idf("single"),
         "inverted_index": lambda s, d: text.inverted_index(tf(s, d)),
         "index_lines": _index_lines,
-        "vocab_filter_docs": lambda s, d: text.kept_counts(_docs(s, d), tf(s, d), _vocab(s, d)),
+        "vocab_filter_docs": _kept,
         "doc_freq": lambda s, d: text.doc_freq(tf(s, d)),
         "idf_mr": _idf("plain"),
         "idf_ml": _idf("smooth"),
-        "tf_counts": lambda s, d: weighting.tf_counts(tf(s, d), _vocab(s, d)),
-        "tf_l1": lambda s, d: r6(weighting.tf_l1(weighting.tf_counts(tf(s, d), _vocab(s, d))), "ntf"),
+        "tf_counts": _counts,
+        "tf_l1": lambda s, d: r6(weighting.tf_l1(_counts(s, d)), "ntf"),
         "tfidf": lambda s, d: r6(_weighted(s, d, False), "val"),
         "tfidf_l1": lambda s, d: r6(_weighted(s, d, True), "val"),
         "bow_string": _bow,
         "bow_parse": lambda s, d: weighting.bow_parse(_bow(s, d)),
-        "hash_slots": lambda s, d: weighting.slot_load(text.vocab_index(_vocab(s, d))),
-        "hash_slot_sums": lambda s, d: r6(weighting.hash_slots(_weighted(s, d, False).join(text.vocab_index(_vocab(s, d)), "term")), "val"),
+        "hash_slots": lambda s, d: weighting.slot_load(_vocab_index(s, d)),
+        "hash_slot_sums": _slot_sums,
         "ovr_fanout": lambda s, d: ovr.fan_out(_docs(s, d), text.label_index(_docs(s, d))).groupBy("cls", "y").agg(F.count(F.lit(1)).alias("cnt")),
         "systematic_sample": lambda s, d: sampling.systematic(_docs(s, d).select("doc_id"), 48),
         "systematic_by_class": lambda s, d: sampling.systematic_by_class(_docs(s, d).select("doc_id", "label_name"), 20, "label_name"),
@@ -204,6 +251,12 @@ def oracle_sql() -> dict[str, str]:
         "systematic_sample": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents) WHERE r % 48 = 0",
         "systematic_by_class": "SELECT doc_id, label_name FROM (SELECT doc_id, lang AS label_name, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r FROM documents) WHERE r % 20 = 0",
         "ovr_predict": f"SELECT doc_id, prediction FROM (SELECT doc_id, CAST(cls AS INTEGER) AS prediction, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN (doc_id + cls) % 3 <> 0 THEN (doc_id * 7 + cls * 5) % 11 - 5 ELSE 0 END, cls) AS r FROM documents, range({N_CLASSES}) t(cls)) WHERE r = 1",
+        "segmented_tokens": _with(*base) + "SELECT doc_id, term, n FROM tf",
+        "prefix_label": "SELECT doc_id, lang AS label_name FROM documents",
+        "score_lines": f"SELECT doc_id, prediction FROM (SELECT doc_id, CAST(cls AS INTEGER) AS prediction, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN (doc_id + cls) % 3 <> 0 THEN (doc_id * 7 + cls * 5) % 11 - 5 ELSE 0 END, cls) AS r FROM documents, range({N_CLASSES}) t(cls)) WHERE r = 1",
+        "idf_single": _with(*lex, _N) + "SELECT term, round(CAST(CAST(ln(CAST(CAST(n_docs AS FLOAT) / CAST(df + 1 AS FLOAT) AS DOUBLE)) AS FLOAT) AS DOUBLE), 6) AS idf FROM vocab, nd",
+        "random_sample": "SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 100",
+        "nb_predict": _with(*_NB) + "SELECT doc_id, CAST(list_position(['de', 'en', 'es', 'fr'], prediction) - 1 AS INTEGER) AS prediction FROM nb",
         "nb_sql": _with(*_NB) + "SELECT doc_id, prediction FROM nb",
         "accuracy": _with(*_NB) + "SELECT avg(CAST(own = prediction AS DOUBLE)) AS accuracy, avg(CAST(own = prediction AS DOUBLE)) * 100 AS accuracy_pct FROM nb",
     }

@@ -8,19 +8,25 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions import longest_match
 from corpusmill.operators import classify, text
 from corpusmill.session import local_session
-from corpusmill.sources import parquet, raw_corpus, stopwords, write_parquet, write_report
+from corpusmill.sources import parquet, raw_corpus, stopwords, write_parquet, write_report, write_timing
 
 
-def build_features(spark: SparkSession, root: str, stop_path: str | None, out: str, filtered: bool, script: str | None, mode: str = "error") -> None:
-    """Writes train, test, train_normed, test_normed under out. Fitted parts come from train alone."""
+def build_features(spark: SparkSession, root: str, stop_path: str | None, out: str, filtered: bool, script: str | None, mode: str = "error", words: list[str] | None = None, timing: str | None = None) -> None:
+    """Writes train, test, train_normed, test_normed under out. Fitted parts come from train alone.
+
+    ``words`` cuts scripts without spaces by a word list; ``timing`` names a report of the seconds taken.
+    """
+    start = time.monotonic()
+    cut = longest_match(words) if words else None
     train, test = (raw_corpus(spark, f"{root}/{part}/*/*").withColumn("doc_id", F.col("path")) for part in ("train", "test"))
     classes = text.label_index(train)
     stop = [r.value for r in stopwords(spark, stop_path).collect()] if stop_path else []
 
     def clean(df: DataFrame) -> DataFrame:
-        return text.without_stopwords(text.token_arrays(df).join(F.broadcast(classes), "label_name"), stop).select("doc_id", "tokens", "label")
+        return text.without_stopwords(text.token_arrays(df, cut).join(F.broadcast(classes), "label_name"), stop).select("doc_id", "tokens", "label")
 
     a, b = clean(train), clean(test)
     if filtered:
@@ -30,6 +36,8 @@ def build_features(spark: SparkSession, root: str, stop_path: str | None, out: s
     for l1, tail, column in ((False, "", "tf_idf_vector"), (True, "_normed", "normed_tf_idf_vector")):
         for name, df in zip(("train", "test"), classify.hashed_features(a, b, l1=l1), strict=True):
             write_parquet(df.select(F.col("features").alias(column), "label"), f"{out}/{name}{tail}", mode)
+    if timing:
+        write_timing(timing, time.monotonic() - start)
 
 
 def train_model(spark: SparkSession, name: str, train: str, test: str, report: str, sample: tuple[int, int] | None = None) -> float:
@@ -53,6 +61,8 @@ def main(args: list[str] | None = None) -> None:
     f.add_argument("--stopwords")
     f.add_argument("--filtered", action="store_true")
     f.add_argument("--script", default="cjk")
+    f.add_argument("--words", help="a word list, one a line, for scripts without spaces")
+    f.add_argument("--timing")
     m = sub.add_parser("models")
     m.add_argument("model", choices=["LR", "SVM", "NB"])
     m.add_argument("train")
@@ -61,7 +71,8 @@ def main(args: list[str] | None = None) -> None:
     a = p.parse_args(args)
     spark = local_session() if a.local else SparkSession.builder.getOrCreate()
     if a.job == "features":
-        build_features(spark, a.root, a.stopwords, a.out, a.filtered, a.script)
+        words = [r.value for r in stopwords(spark, a.words).collect()] if a.words else None  # a word list, bounded by its file
+        build_features(spark, a.root, a.stopwords, a.out, a.filtered, a.script, words=words, timing=a.timing)
     else:
         train_model(spark, a.model, a.train, a.test, a.report)
 

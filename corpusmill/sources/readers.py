@@ -54,6 +54,25 @@ def index_lines(df: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def parse_score_lines(df: DataFrame, column: str = "value") -> DataFrame:
+    """doc, cls, score of lines ``doc|cls|...|score``: re-keyed on the first bar, the score is the last field; fields between are passed over."""
+    key = F.split(F.col(column), r"\|", 2)
+    rest = F.split(F.get(key, F.lit(1)), r"\|")
+    return df.select(key[0].alias("doc"), rest[0].try_cast("int").alias("cls"), F.trim(F.element_at(rest, -1)).try_cast("double").alias("score"))
+
+
+def idf_lines(df: DataFrame, column: str = "value") -> DataFrame:
+    """term, idf of side-file lines ``(w)<tab>idf``; w loses its wrapper characters."""
+    p = F.split(F.col(column), "\t", 2)
+    return df.select(F.substring(p[0], F.lit(2), F.greatest(F.length(p[0]) - 2, F.lit(0))).alias("term"), F.get(p, F.lit(1)).try_cast("double").alias("idf"))
+
+
+def vector_lines(df: DataFrame, column: str = "value") -> DataFrame:
+    """doc, vec of lines ``file<tab>idx:val idx:val``; an empty vector stays."""
+    p = F.split(F.col(column), "\t", 2)
+    return df.select(p[0].alias("doc"), F.coalesce(F.get(p, F.lit(1)), F.lit("")).alias("vec"))
+
+
 def count_documents(docs: DataFrame) -> DataFrame:
     """One row, n_docs; empty documents count."""
     return docs.agg(F.count(F.lit(1)).alias("n_docs"))

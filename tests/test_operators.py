@@ -179,3 +179,42 @@ def test_hashing_covers_every_document(spark, tmp_path):
         r = got[i]
         assert r.nnz == len(want) and r.slots == sorted(want)
         assert all(abs(x - want[s]) < 1e-12 for s, x in zip(r.slots, r.weights, strict=True))
+
+
+def test_segmentation(spark):
+    """Chinese words by the longest match in a list, other letters by runs."""
+    from corpusmill.functions import longest_match
+
+    d = docs(spark, "体育新闻，News 2024 新体育", None, "")
+    got = text.token_arrays(d, longest_match(["体育", "新闻", "体育新"])).orderBy("doc_id").collect()
+    assert [r.tokens for r in got] == [["体育新", "闻", "news", "新", "体育"], [], []]
+
+
+def test_score_lines(spark):
+    from corpusmill.sources import parse_score_lines
+
+    df = spark.createDataFrame([("a.txt|3|positive|-0.5 ",), ("b|0|1.25 ",), ("c",)], "value string")
+    assert [tuple(r) for r in parse_score_lines(df).collect()] == [("a.txt", 3, -0.5), ("b", 0, 1.25), ("c", None, None)]
+
+
+def test_single_precision(spark):
+    v = spark.createDataFrame([("p", 2), ("q", 1)], "term string, df long")
+    n = spark.createDataFrame([(3,)], "n_docs long")
+    assert {r.term: round(r.idf, 6) for r in weighting.idf(v, n, "single").collect()} == {"p": 0.0, "q": 0.405465}
+
+
+def test_chain_from_files_to_accuracy(spark, tmp_path):
+    from corpusmill.plans import chain
+
+    at = lambda x: f"{tmp_path}/{x}"
+    words = {"ball": "aa", "goal": "aa", "bank": "bb", "fund": "bb", "both": "aabb"}
+    line = [f"<{w}> 9,0\t" + ";".join(f"{c}{i}: {2 + i % 3}" for i in range(8) for c in ("aa", "bb") if c in cs) for w, cs in words.items()]
+    spark.createDataFrame([(x,) for x in line], "value string").write.text(at("index"))
+    chain.idf_job(spark, at("index"), 16, at("idf"))
+    chain.bow_job(spark, at("index"), at("idf"), at("bow"))
+    vectors = {r.value.split("\t")[0]: r.value.split("\t")[1] for r in spark.read.text(at("bow")).collect()}
+    # ln(16 / 9) = 0.5754 for the words of one class, ln(16 / 17) = -0.0606 for the common one, twice each in the first file
+    assert len(vectors) == 16 and vectors["aa0"] == "0:1.1507 2:-0.1212 4:1.1507"
+    chain.train_job(spark, at("bow"), at("bow"), at("scores"))
+    chain.predict_job(spark, at("scores"), 2, at("classes"))
+    assert chain.accuracy_job(spark, at("classes"), ["aa", "bb"]) == 100.0
