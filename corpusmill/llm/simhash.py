@@ -25,6 +25,7 @@ SEED, RADIUS, SHINGLE = 42, 3, 3
 #: Distinct fingerprints a leaf, about; fingerprints that the tree is built from at most.
 LEAF, SAMPLE = 8_000, 16_000
 BLOCK = 1 << 22  # distances at a time
+EDGES = 1 << 20  # links that a task contracts at a time
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -165,9 +166,50 @@ def links(distinct: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFr
     return sent.groupBy("leaf").applyInArrow(join, "a long, b long")
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root): the links of the same components in which each node has the least one as its root."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        off = low < high
+        if not off.any():
+            break
+        x, y = x[off], y[off]
+        np.minimum.at(root, high[off], low[off])
+        while (root[root] != root).any():
+            root = root[root]
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """a, b: links of the same components, each partition's own (EDGES at a time) as stars; no shuffle, and fewer rounds after it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            a, b = stars(*(np.concatenate([h.column(c).to_numpy() for h in held]) for c in (0, 1)))
+            held.clear()
+            return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(h.num_rows for h in held) >= EDGES:
+                yield flush()
+        if held:
+            yield flush()
+
+    return edges.where("a <> b").select("a", "b").mapInArrow(work, "a long, b long")
+
+
 def label_components(edges: DataFrame) -> DataFrame:
-    """node, label: one label a component, by min-label rounds with pointer jumping until nothing changes."""
-    both = materialise(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    """node, label: one label a component: links become stars in each partition, then min-label rounds with pointer jumping until nothing changes."""
+    few = materialise(contracted(edges), "stars")
+    both = materialise(few.unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    forget(few)
     now = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
     while True:
         near = both.join(now.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("m"))

@@ -248,6 +248,22 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+@pytest.mark.parametrize(("nodes", "edges"), [(1, 0), (5, 3), (60, 40), (60, 400), (2000, 1900)])
+def test_stars_keep_components(nodes, edges):
+    rng = np.random.default_rng(nodes)
+    name = rng.integers(-(2**62), 2**62, nodes)
+    pairs = rng.integers(0, nodes, (2, edges))
+    a, b = (name[p[pairs[0] != pairs[1]]] for p in pairs)
+    own = {int(x): {int(x)} for x in name}
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if own[x] is not own[y]:
+            own[x] |= own[y]
+            for z in own[x]:
+                own[z] = own[x]
+    got = dict(zip(*(v.tolist() for v in simhash.stars(a, b)), strict=True))
+    assert got == {x: min(s) for x, s in own.items() if min(s) != x}
+
+
 def test_minhash(spark, docs):
     got = {r.doc_id: r for r in run(spark, "op7_fingerprints").collect()}
     ids = list(docs)
