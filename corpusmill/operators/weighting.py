@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import idf_plain, idf_single, idf_smooth, java_hash
+from corpusmill.operators.text import small
 
 
 def idf(vocab: DataFrame, n_docs: DataFrame, kind: str = "smooth") -> DataFrame:
@@ -15,7 +16,7 @@ def idf(vocab: DataFrame, n_docs: DataFrame, kind: str = "smooth") -> DataFrame:
 
 
 def tf_counts(tf: DataFrame, vocab: DataFrame) -> DataFrame:
-    return tf.join(vocab.select("term"), "term", "left_semi").select("doc_id", "term", "n")
+    return tf.join(small(vocab.select("term")), "term", "left_semi").select("doc_id", "term", "n")
 
 
 def tf_l1(counts: DataFrame) -> DataFrame:
@@ -26,12 +27,12 @@ def tf_l1(counts: DataFrame) -> DataFrame:
 
 def weigh(values: DataFrame, weights: DataFrame, column: str) -> DataFrame:
     """doc_id, term, val = value * idf."""
-    return values.join(weights, "term").select("doc_id", "term", (F.col(column) * F.col("idf")).alias("val"))
+    return values.join(small(weights), "term").select("doc_id", "term", (F.col(column) * F.col("idf")).alias("val"))
 
 
 def bow_string(docs: DataFrame, weighted: DataFrame, index: DataFrame) -> DataFrame:
     """doc_id, vec: ``idx:val`` with four decimals, by idx, space-joined; '' for an empty document."""
-    entries = weighted.join(index, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "val"))).alias("e"))
+    entries = weighted.join(small(index), "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "val"))).alias("e"))
     text = F.array_join(F.transform("e", lambda x: F.format_string("%d:%.4f", x["idx"], x["val"])), " ")
     return docs.select("doc_id").join(entries, "doc_id", "left").select("doc_id", F.coalesce(text, F.lit("")).alias("vec"))
 
@@ -43,10 +44,10 @@ def bow_parse(vectors: DataFrame) -> DataFrame:
     return pair.select("doc_id", F.col("p")[0].cast("long").alias("idx"), F.col("p")[1].cast("double").alias("val"))
 
 
-def hash_slots(entries: DataFrame, slots: int = 87423) -> DataFrame:
-    """doc_id, slot, val: values summed where decimal index strings hash to the same slot."""
-    slot = java_hash(F.col("idx").cast("string"), slots).cast("long")
-    return entries.groupBy("doc_id", slot.alias("slot")).agg(F.sum("val").alias("val"))
+def hash_slots(weighted: DataFrame, index: DataFrame, slots: int = 87423) -> DataFrame:
+    """doc_id, slot, val: values summed where the decimal index strings of terms hash to the same slot; a term is hashed once."""
+    own = index.select("term", java_hash(F.col("idx").cast("string"), slots).cast("long").alias("slot"))
+    return weighted.join(small(own), "term").groupBy("doc_id", "slot").agg(F.sum("val").alias("val"))
 
 
 def slot_load(index: DataFrame, slots: int = 87423) -> DataFrame:

@@ -218,3 +218,51 @@ def test_chain_from_files_to_accuracy(spark, tmp_path):
     chain.train_job(spark, at("bow"), at("bow"), at("scores"))
     chain.predict_job(spark, at("scores"), 2, at("classes"))
     assert chain.accuracy_job(spark, at("classes"), ["aa", "bb"]) == 100.0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_in_their_rows(spark):
+    """No shuffle where doc_ids differ; repeated and null ones meet."""
+    assert "Exchange" not in _plan(text.terms(docs(spark, "b a b", "", None)))
+    d = spark.createDataFrame([(1, "b a b", "x"), (1, "a", "y"), (None, "c", "x"), (None, "c d", "x"), (2, "", "x"), (3, "É é", None)], "doc_id long, text string, label_name string")
+    assert sorted(map(repr, map(tuple, text.terms(d).collect()))) == sorted(map(repr, [(1, "a", 2), (1, "b", 2), (None, "c", 2), (None, "d", 1), (3, "é", 2)]))
+    each = [tuple(r) for r in text.terms(d, "label_name").where("doc_id = 1").collect()]
+    assert sorted(each) == [(1, "x", "a", 2), (1, "x", "b", 2), (1, "y", "a", 2), (1, "y", "b", 2)]
+
+
+def test_repeated_postings_are_summed(spark):
+    df = spark.createDataFrame([("<a> 1,0\t1: 2;2: 3",), ("<b> 1,0\t1: 2;1: 3",), ("<c> 1,0\t1: 1",), ("<c> 1,0\t1: 4",)], "value string")
+    assert sorted(map(tuple, text.postings_to_terms(index_lines(df)).collect())) == [("1", "a", 2), ("1", "b", 5), ("1", "c", 5), ("2", "a", 3)]
+    assert "Exchange" not in _plan(text.postings_to_terms(index_lines(df.limit(1).localCheckpoint())))
+
+
+def test_repeated_documents_match_sql(spark, tmp_path):
+    """Rows of one doc_id, in train and in test, count as in SQL."""
+    from corpusmill.plans import catalogue
+    from tests.oracle import connect, same
+
+    rows = [(1, "uno dos uno tres", "es"), (1, "uno dos", "es"), (2, "one two " * 6, "en"), (3, "uno two tres", "es"), (5, "uno uno", "es"), (5, "one", "en"), (10, "dos tres", "en"), (15, None, "de")]
+    spark.createDataFrame(rows * 2, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("tokenize", "tf_counts", "tf_l1", "index_lines", "hash_slot_sums", "nb_sql"):
+        q = catalogue.queries()[name](spark, str(tmp_path))
+        same(q.distinct() if name == "nb_sql" else q, connect(str(tmp_path)), catalogue.oracle_sql()[name].replace("SELECT doc_id, prediction FROM nb", "SELECT DISTINCT doc_id, prediction FROM nb"))
+
+
+def test_segmenter_holds_a_piece(spark, monkeypatch):
+    """A batch of texts is cut and given on piece by piece."""
+    from corpusmill import functions
+
+    monkeypatch.setattr(functions, "PIECE", 4)
+    d = docs(spark, *[f"aa {'b' * (i % 7)}" for i in range(50)]).repartition(1)
+    got = text.token_arrays(d, str.split).collect()
+    assert {r.doc_id: r.tokens for r in got} == {i: f"aa {'b' * (i % 7)}".split() for i in range(50)}
+
+
+def test_features_leave_the_tokens_behind(spark):
+    d = spark.createDataFrame([(i, ["a", "b", "b"] if i % 2 else ["b"]) for i in range(20)], "doc_id long, tokens array<string>")
+    a, b = classify.counted_features(d, d, min_count=10, weight=False)
+    assert a.columns == b.columns == ["doc_id", "features"]
+    assert {r.doc_id: r.features.toArray().tolist() for r in a.collect()} == {i: [2.0, 1.0] if i % 2 else [1.0, 0.0] for i in range(20)}
