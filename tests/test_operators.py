@@ -266,3 +266,29 @@ def test_features_leave_the_tokens_behind(spark):
     a, b = classify.counted_features(d, d, min_count=10, weight=False)
     assert a.columns == b.columns == ["doc_id", "features"]
     assert {r.doc_id: r.features.toArray().tolist() for r in a.collect()} == {i: [2.0, 1.0] if i % 2 else [1.0, 0.0] for i in range(20)}
+
+
+def test_sparse_models_match_sparks(spark, monkeypatch):
+    """Tree and perceptron predict as Spark's own, the forest nearly so, and none goes through Spark's dense rows."""
+    from corpusmill.plans import catalogue
+
+    seen, fit = {}, classify.fit_predict
+    monkeypatch.setattr(classify, "fit_predict", lambda name, *a, **o: (seen.setdefault(name, (a, o)), a[1].withColumn("prediction", F.lit(0.0)))[1])
+    for n in ("mlp", "tree", "forest"):
+        catalogue.queries()[f"{n}_predict"](spark, "/root/testdata/sf0.001")
+    want = {n: {r.doc_id: r.prediction for r in classify.estimator(n, **o).fit(a[0]).transform(a[1]).collect()} for n, (a, o) in seen.items()}
+    monkeypatch.setattr(classify, "estimator", None)
+    for n, (a, o) in seen.items():
+        got = {r.doc_id: r.prediction for r in fit(n, *a, **o).collect()}
+        assert got.keys() == want[n].keys() and sum(got[k] == want[n][k] for k in got) >= (0.9 if n == "RF" else 1) * len(got)
+
+
+def test_tree_cuts():
+    """Midpoints of all values, zero among them; of many values, those at about equal counts."""
+    import numpy as np
+
+    from corpusmill.operators.sparse import cuts
+
+    assert cuts(np.array([1.0, 2.0]), np.array([3, 1]), 10, 31) == [0.5, 1.5]
+    assert cuts(np.array([1.0, 2.0]), np.array([3, 1]), 4, 31) == [1.5]
+    assert cuts(np.arange(1.0, 9), np.ones(8, int), 8, 3) == [2.5, 4.5, 6.5]
