@@ -416,3 +416,12 @@ def test_ids_of_every_character(path):
         if own(t) != np.array(own.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes():
             off.append(hex(n))
     assert not off
+
+
+def test_every_mandatory_trigram_is_indexed(spark, monkeypatch):
+    """The index asks for all trigrams of all rules' queries, none left out of a conjunction."""
+    asked, own = [], secrets.index
+    monkeypatch.setattr(secrets, "index", lambda docs, grams: (asked.append(set(grams)), own(docs, grams))[1])
+    secrets.report(spark.createDataFrame([(1, "token = abcdefghijkl")], "doc_id long, text string")).collect()
+    want = set().union(*[secrets._all_grams(secrets.trigram_query(r.pattern)) for r in secrets.RULES])
+    assert asked == [want] and len(want) > 70
