@@ -15,7 +15,7 @@ components, not of texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,10 @@ from corpusmill.session import forget, materialise
 SHINGLE, NUM, DEN = 5, 4, 5
 #: Star rounds at most (one that links nothing is the last); shingles that the order takes last at most, and the count in a table that makes one such. These bound the work, not the links.
 STARS, HOT, OFTEN = 2, 200_000, 20
-#: Texts of a bucket from which its pairs are compared in blocks and not as rows; texts a block, about.
-LARGE, BLOCK = 48, 400
+#: Texts of a bucket from which its pairs are compared in blocks and not as rows; texts and shingles a block, about.
+LARGE, BLOCK, BLOCK_SHINGLES = 48, 400, 500_000
+#: Rows with texts or sets that a Python worker gets at once; shingles that it counts at once, about.
+ROWS, HELD = 500, 2_000_000
 #: Texts to compare, up to which their names are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -43,16 +45,28 @@ def shingle_set(text: str) -> np.ndarray:
 
 
 def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles, ascending, and their counts: those that a batch of rows has twice are counted."""
+    """Common shingles, ascending, and their counts: those that rows with about HELD shingles have twice are counted."""
+
+    def twice(sets: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(sets), return_counts=True)
+        return pa.record_batch([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, size = [], 0
         for b in batches:
-            sets = [shingle_set(t.as_py()) for t in b.column(0)]
-            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, int))
-            yield pa.record_batch([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
+            for t in b.column(0):
+                sets.append(shingle_set(t.as_py()))
+                size += len(sets[-1])
+                if size >= HELD:
+                    yield twice(sets)
+                    sets, size = [], 0
+        if sets:
+            yield twice(sets)
 
     counted = docs.select(text_of()).mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    got = counted.orderBy(F.desc("n"), "h").limit(HOT).toPandas()
+    kept = materialise(counted, "common", ROWS)
+    got = kept.orderBy(F.desc("n"), "h").limit(HOT).toPandas()
+    forget(kept)
     h, n = got.h.to_numpy(np.int64).view(np.uint64), got.n.to_numpy(np.int64)
     at = np.argsort(h)
     return h[at], n[at]
@@ -91,50 +105,69 @@ def sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     met = materialise(nodes.distinct(), "met")
     few = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
     texts = docs.select(text_hash().alias("node"), text_of().alias("text")).join(few, "node", "left_semi").dropDuplicates(["node"])
-    own = materialise(texts.mapInArrow(sets, "node long, hashes binary"), "sets")
+    own = materialise(texts.mapInArrow(sets, "node long, hashes binary"), "sets", ROWS)
     forget(met)
     return own
 
 
+def _overlaps(sets: list[np.ndarray]) -> Callable[[int], np.ndarray]:
+    """A function that counts, for the set at a place, what each of the sets shares with it; an element is a number and not an object."""
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), np.diff(at))
+    different, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids, mark = ids.astype(np.int32), np.zeros(len(different), bool)
+
+    def shared(x: int) -> np.ndarray:
+        own = ids[at[x] : at[x + 1]]
+        mark[own] = True
+        n = np.bincount(owner[mark[ids]], minlength=len(sets))
+        mark[own] = False
+        return n
+
+    return shared
+
+
 def _compare(key: tuple, rows: pa.Table) -> pa.Table:
     """Links between the texts of two blocks of a bucket (or within one), as a spanning forest over their components."""
     token, i, j = (k.as_py() for k in key)
-    nodes, comp, block = (rows.column(c).to_pylist() for c in ("node", "comp", "block"))
-    whole = [frozenset(np.frombuffer(x.as_buffer(), "<u8").tolist()) for x in rows.column("hashes")]
+    nodes, comp, block = (rows.column(c).to_numpy() for c in ("node", "comp", "block"))
+    whole = [np.frombuffer(x.as_buffer(), "<u8") for x in rows.column("hashes")]
+    n, both = np.array([len(x) for x in whole]), _overlaps(whole)
     # A pair is compared in the bucket of the least token that both have.
-    lower = [frozenset(t for t in x if t < token) for x in rows.column("tokens").to_pylist()]
-    parent = {c: c for c in comp}
-
-    def find(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
-    left = [k for k, b in enumerate(block) if b == i]
-    right = left if i == j else [k for k, b in enumerate(block) if b == j]
-    found = []
-    for x in left:
-        own, low, n = whole[x], lower[x], len(whole[x])
-        for y in right:
-            m = len(whole[y])
-            if (i != j or x < y) and DEN * min(n, m) >= NUM * max(n, m) and low.isdisjoint(lower[y]) and find(comp[x]) != find(comp[y]):
-                both = len(own & whole[y])
-                if DEN * both >= NUM * (n + m - both):
-                    found.append((nodes[x], nodes[y]))
-                    parent[find(comp[x])] = find(comp[y])
-    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-
-def in_blocks(rows: DataFrame, postings: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b: links among the texts of large buckets (token, node, comp, k texts). Two blocks of a bucket meet in one task; only links are rows."""
-    met = rows.select("node").distinct()
-    own = sets_of(met, docs).join(postings.join(met, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("tokens")), "node")
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    tokens = [x.values.to_numpy() for x in rows.column("tokens")]
+    lower = _overlaps([x[x < token] for x in tokens])
+    root = np.unique(comp, return_inverse=True)[1]
+    left, right = block == i, block == j
+    a, b = [], []
+    for x in np.flatnonzero(left):
+        to = right & (root != root[x]) & (DEN * np.minimum(n, n[x]) >= NUM * np.maximum(n, n[x]))
+        if i == j:
+            to[: x + 1] = False
+        if not to.any():
+            continue
+        to &= lower(x) == 0
+        if not to.any():
+            continue
+        m = both(x)
+        for y in np.flatnonzero(to & (DEN * m >= NUM * (n + n[x] - m))):
+            if root[x] != root[y]:
+                a.append(nodes[x])
+                b.append(nodes[y])
+                root[root == root[y]] = root[x]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def in_blocks(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b: links among the texts of large buckets (token, node, comp; k texts of so many shingles). Two blocks of a bucket meet in one task; only links are rows.
+
+    What decides where a pair is compared are the large buckets alone: the others ask more of it.
+    """
+    own = sets_of(rows.select("node"), docs).join(rows.groupBy("node").agg(F.collect_list("token").alias("tokens")), "node")
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = dealt.select("token", "node", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block")
-    return materialise(cells.join(own, "node").groupBy("token", "i", "j").applyInArrow(_compare, "a long, b long"), "links")
+    return materialise(cells.join(own, "node").groupBy("token", "i", "j").applyInArrow(_compare, "a long, b long"), "links", ROWS)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, tested: list[DataFrame]) -> DataFrame:
@@ -156,7 +189,7 @@ def verified(pairs: DataFrame, docs: DataFrame, tested: list[DataFrame]) -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (own.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in ("a", "b"))
-    found = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(work, "a long, b long"), "links")
+    found = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(work, "a long, b long"), "links", ROWS)
     forget(own)
     return found
 
@@ -188,7 +221,7 @@ def joined(label: DataFrame, links_: DataFrame) -> DataFrame:
 
 def labels(docs: DataFrame) -> DataFrame:
     """node, label of every text that has a near copy (its own component's texts have the same label)."""
-    every = materialise(signatures(docs), "signatures")
+    every = materialise(signatures(docs), "signatures", ROWS)
     tested: list[DataFrame] = []
     label = label_components(verified(tree_pairs(every), docs, tested))
     rows = every.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
@@ -206,8 +239,8 @@ def labels(docs: DataFrame) -> DataFrame:
             pairs = now.alias("x").join(other.alias("y"), "token").where(possible("x", "y"))
         else:
             some = materialise(now.join(mixed.select("token"), "token", "left_semi"), "mixed")
-            large = some.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > LARGE)
-            found = in_blocks(some.join(large, "token").select("token", "node", "comp", "k"), postings, docs)
+            large = some.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles")).where(F.col("k") > LARGE)
+            found = in_blocks(some.join(large, "token").select("token", "node", "comp", "k", "shingles"), docs)
             if found.head(1):
                 label = joined(label, found)
             some = some.join(large, "token", "left_anti")

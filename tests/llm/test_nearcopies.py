@@ -3,12 +3,16 @@
 import collections
 import itertools
 import random
+import tracemalloc
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from corpusmill.llm import nearcopies, quality
+from corpusmill.session import materialise
 
 DIR = "/root/testdata/sf0.01"
 
@@ -106,3 +110,38 @@ def test_good_rows_do_not_keep_bad_ones(spark):
     more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, text[good]), (10**6, text[bad]), (None, text[good]), (None, text[bad])], "doc_id long, text string"))
     got = quality.keep_good(more, labels).where("doc_id = 1000000 OR doc_id IS NULL").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(10**6, text[good]), (None, text[good])], key=str)
+
+
+def test_long_texts_of_a_bucket_are_held_as_numbers():
+    """Sets of a block are arrays; as objects they took over ten times their bytes. The links are those of plain sets."""
+    rng = np.random.default_rng(1)
+    base = [np.unique(rng.integers(0, 1 << 63, 10_000, np.uint64)) for _ in range(20)]
+    sets = [np.unique(np.concatenate([b[k:], rng.integers(0, 1 << 63, k, np.uint64)])) for b in base for k in (0, 900, 2_000)]
+    n = len(sets)
+    rows = pa.table(
+        {"token": [5] * n, "i": [0] * n, "j": [0] * n, "node": list(range(n)), "comp": list(range(n)), "block": [0] * n, "hashes": [s.tobytes() for s in sets], "tokens": pa.array([[5, 7]] * n, pa.list_(pa.int64()))},
+    )
+    tracemalloc.start()
+    got = nearcopies._compare((pa.scalar(5), pa.scalar(0), pa.scalar(0)), rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * sum(s.nbytes for s in sets)
+    plain = [set(s.tolist()) for s in sets]
+    want = {(i, j) for i, j in itertools.combinations(range(n), 2) if 5 * len(plain[i] & plain[j]) >= 4 * len(plain[i] | plain[j])}
+    joined = collections.defaultdict(set)
+    for a, b in zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True):
+        assert (min(a, b), max(a, b)) in want
+        joined[a // 3] |= {a, b}
+    assert all(any(i in s and j in s for s in joined.values()) for i, j in want)
+
+
+def test_python_gets_few_long_rows_at_once(spark):
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows])], names=["n"])
+
+    got = materialise(spark.range(0, 100, 1, 1).mapInArrow(sizes, "n long"), "sizes", 30).collect()
+    assert sorted(r.n for r in got) == [10, 30, 30, 30]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == held
