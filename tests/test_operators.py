@@ -1,10 +1,14 @@
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import in_script, java_hash
 from corpusmill.operators import classify, ovr, sampling, text, weighting
 from corpusmill.operators.ranking import with_position
+from corpusmill.plans import catalogue
 from corpusmill.sources import index_lines, raw_corpus, write_delimited
+from tests.oracle import connect, same
 
 
 def docs(spark, *texts):
@@ -292,3 +296,46 @@ def test_tree_cuts():
     assert cuts(np.array([1.0, 2.0]), np.array([3, 1]), 10, 31) == [0.5, 1.5]
     assert cuts(np.array([1.0, 2.0]), np.array([3, 1]), 4, 31) == [1.5]
     assert cuts(np.arange(1.0, 9), np.ones(8, int), 8, 3) == [2.5, 4.5, 6.5]
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+@pytest.mark.parametrize("name", ["hash_slot_sums", "tfidf_l1", "tf_l1", "tfidf", "bow_string", "bow_parse", "tf_counts", "vocab_filter_docs"])
+def test_documents_in_their_rows_equal_sql(spark, tmp_path, monkeypatch, name, broadcast):
+    """Repeated and null ids, empty documents and documents over many batches; with a broadcast vocabulary no row is dealt by doc_id."""
+    ids = [1, 1, 2, 3, 4, 4, None, None, *range(10, 40)]
+    texts = [" ".join(f"w{'xyz'[j % 3] * (1 + (i + j) % 9)}" for j in range(i * 3)) if i % 5 else ("" if i else None) for i in range(len(ids))]
+    made = spark.createDataFrame([(k, t, "en") for k, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string")
+    made.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(text, "BROADCAST_ROWS", broadcast)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = catalogue.queries()[name](spark, str(tmp_path))
+        same(out, connect(str(tmp_path)), catalogue.oracle_sql()[name])
+        if broadcast and name != "vocab_filter_docs":
+            assert "hashpartitioning(doc_id" not in _plan(out)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
+def test_rows_out_of_order_are_refused():
+    batch = lambda *at: pa.record_batch([pa.array(at)], names=["at"])
+    got = [t.column("at").to_pylist() for t in weighting.whole_runs(iter([batch(1, 1, 2), batch(), batch(2), batch(2, 3), batch(3, 4)]))]
+    assert got == [[1, 1], [2, 2, 2], [3, 3], [4]]
+    with pytest.raises(ValueError):
+        list(weighting.whole_runs(iter([batch(2, 1)])))
+
+
+def test_classifiers_train_on_few_partitions(spark, tmp_path, monkeypatch):
+    """A partition a split would send back as many arrays of the vocabulary's length."""
+    at = f"{tmp_path}/rows"
+    spark.range(3000).repartition(30).write.option("maxRecordsPerFile", 10).parquet(at)
+    monkeypatch.setattr(classify, "PART", 1 << 30)
+    spark.conf.set("spark.sql.files.openCostInBytes", "100m")
+    try:
+        rows = spark.read.parquet(at)
+        assert rows.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+        few = classify.gathered(rows)
+        assert few.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and few.count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
