@@ -23,8 +23,8 @@ from corpusmill.llm.common import text_of
 from corpusmill.llm.tokenizing import ids_of
 from corpusmill.session import materialise
 
-#: Bytes of ids that a worker holds before it hands pieces on.
-HELD = 1 << 24
+#: Bytes of ids that a worker holds before it hands pieces on, and texts that it gets at a time.
+HELD, TEXTS = 1 << 22, 500
 #: Rows that one task matches, about; the length from which all shorter ones are one step.
 ROWS_A_RANGE, LOW = 50_000, 32
 
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ids_of(tokenizer)
+        encode = ids_of(tokenizer, small=True)
         for b in batches:
             row, held, size = 0, [], 0
             for text in b.column(1):
@@ -219,7 +219,7 @@ def pack(sized: DataFrame, capacity: int = 1024, low: int = LOW) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every document's pieces."""
-    return pack(materialise(pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    return pack(materialise(pieces(docs, tokenizer, capacity, end_id), "pieces", TEXTS), capacity)
 
 
 def sequences(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -227,7 +227,7 @@ def sequences(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int
 
     A sequence has at most ``capacity`` pieces, so a group is bounded.
     """
-    own = materialise(pieces(docs, tokenizer, capacity, end_id, with_ids=True), "pieces")
+    own = materialise(pieces(docs, tokenizer, capacity, end_id, with_ids=True), "pieces", TEXTS)
     placed = pack(own, capacity).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("p"))
     words = F.flatten(F.transform("p", lambda x: F.split(F.regexp_replace(F.hex(x["ids"]), "(.{8})(?=.)", "$1 "), " ")))
     little = lambda h: F.conv(F.concat(h.substr(7, 2), h.substr(5, 2), h.substr(3, 2), h.substr(1, 2)), 16, 10).cast("int")

@@ -26,6 +26,8 @@ from corpusmill.session import materialise
 
 #: Random features, ridge penalty a row, seed, score bins of the calibration.
 FEATURES, RIDGE, SEED, BINS = 384, 1e-4, 11, 400
+#: Texts that a worker gets at a time.
+TEXTS = 500
 #: Byte classes whose shares are statistics.
 _CLASSES = {
     "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digit": bytes(range(48, 58)), "space": b" \t\n\v\f\r",
@@ -161,7 +163,7 @@ def key_hash() -> Column:
 
 def score_rows(docs: DataFrame, labels: DataFrame, column: str, folds: int, fold: int, threshold: float) -> DataFrame:
     """What score_documents returns and the hash of the text."""
-    stats = materialise(document_statistics(docs), "statistics")
+    stats = materialise(document_statistics(docs), "statistics", TEXTS)
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).cast("int").alias("y"))
     rows = stats.where(key_hash() % folds != fold).join(known, "doc_id").select("stats", "y", ((key_hash() / folds).cast("long") % 4 == 0).alias("calibrate"))
     model = fit(rows)

@@ -18,8 +18,10 @@ from functools import cache
 
 import regex
 
-#: Entries of a worker's table, and characters of a part that it may keep; any other part is computed each time.
+#: Entries of a worker's table (some 200 bytes each), and characters of a part that it may keep; any other part is computed each time.
 TABLE, LONGEST = 1_200_000, 40
+#: Entries of a table that is renewed, for workers beside an executor that other stages have filled.
+SMALL = 400_000
 #: The byte-level alphabet, bytes that stand for themselves and then the others from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
@@ -54,10 +56,29 @@ class _Parts(dict):
         return got
 
 
+class _Renewed(_Parts):
+    """The same in less memory: a table of half the size that becomes the one before when it is full; a part that comes again is taken back from that."""
+
+    def __init__(self, ids, size: int):
+        super().__init__(ids, max(1, size // 2))
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        got = self.before.get(part)
+        if got is None:
+            got = self.ids(part)
+        if len(part) <= LONGEST:
+            if len(self) >= self.room:
+                self.before = dict(self)
+                self.clear()
+            self[part] = got
+        return got
+
+
 class Ids:
     """text -> ids as little-endian unsigned 32-bit bytes, without special tokens."""
 
-    def __init__(self, path: str, table: int = TABLE):
+    def __init__(self, path: str, table: int = TABLE, renewed: bool = False):
         import json
 
         from tokenizers import Tokenizer
@@ -77,7 +98,7 @@ class Ids:
         else:
             self.lower, split = False, None
         self.split = split and regex.compile(split).findall
-        self.chunks = _Parts(self._chunk, table)
+        self.chunks = (_Renewed if renewed else _Parts)(self._chunk, table)
 
     def _piece(self, piece: str) -> bytes:
         own = piece if piece.isascii() else piece.encode().decode("latin-1")
@@ -114,11 +135,11 @@ class Ids:
             return self._plainly(text)
 
 
-_LOADED: dict[str, Ids] = {}
+_LOADED: dict[tuple[str, bool], Ids] = {}
 
 
-def ids_of(path: str) -> Ids:
-    """One instance a worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = Ids(path)
-    return _LOADED[path]
+def ids_of(path: str, small: bool = False) -> Ids:
+    """One instance a worker process; a small one has a table of SMALL entries that is renewed."""
+    if (path, small) not in _LOADED:
+        _LOADED[path, small] = Ids(path, SMALL, True) if small else Ids(path)
+    return _LOADED[path, small]

@@ -425,3 +425,22 @@ def test_every_mandatory_trigram_is_indexed(spark, monkeypatch):
     secrets.report(spark.createDataFrame([(1, "token = abcdefghijkl")], "doc_id long, text string")).collect()
     want = set().union(*[secrets._all_grams(secrets.trigram_query(r.pattern)) for r in secrets.RULES])
     assert asked == [want] and len(want) > 70
+
+
+def test_a_renewed_table_stays_small_and_has_the_ids(docs):
+    """Packing's workers stand beside an executor that the stages before have filled."""
+    own, whole = Ids(BYTE, 64, renewed=True), Ids(BYTE)
+    for t in [*docs.values()][:40]:
+        assert own(t) == whole(t)
+        assert len(own.chunks) <= 32 and len(own.chunks.before) <= 32
+    assert own.chunks.before
+
+
+@pytest.mark.parametrize("stage", ["pack", "quality"])
+def test_workers_get_few_texts_at_a_time(spark, monkeypatch, stage):
+    """A batch of 10,000 texts is held by Python and outside the executor's heap."""
+    module, name, work = {"pack": (packing, "pieces", lambda d: packing.pack_documents(d, BYTE)), "quality": (quality, "statistics", lambda d: quality.keep_good(d, spark.read.parquet(f"{DIR}/labels.parquet")))}[stage]
+    seen, plain = {}, module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, at, batch=None: seen.setdefault(at, batch) and False or plain(df, at, batch))
+    work(spark.read.parquet(f"{DIR}/documents.parquet"))
+    assert seen[name] and seen[name] <= 500
