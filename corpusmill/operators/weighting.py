@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import idf_plain, idf_single, idf_smooth, java_hash
-from corpusmill.operators.text import small
+from corpusmill.operators.text import with_terms
 
 
 def idf(vocab: DataFrame, n_docs: DataFrame, kind: str = "smooth") -> DataFrame:
@@ -20,7 +20,7 @@ def idf(vocab: DataFrame, n_docs: DataFrame, kind: str = "smooth") -> DataFrame:
 
 
 def tf_counts(tf: DataFrame, vocab: DataFrame) -> DataFrame:
-    return tf.join(small(vocab.select("term")), "term", "left_semi").select("doc_id", "term", "n")
+    return with_terms(tf, vocab.select("term")).select("doc_id", "term", "n")
 
 
 def tf_l1(counts: DataFrame) -> DataFrame:
@@ -31,12 +31,12 @@ def tf_l1(counts: DataFrame) -> DataFrame:
 
 def weigh(values: DataFrame, weights: DataFrame, column: str) -> DataFrame:
     """doc_id, term, val = value * idf."""
-    return values.join(small(weights), "term").select("doc_id", "term", (F.col(column) * F.col("idf")).alias("val"))
+    return with_terms(values, weights).select("doc_id", "term", (F.col(column) * F.col("idf")).alias("val"))
 
 
 def bow_string(docs: DataFrame, weighted: DataFrame, index: DataFrame) -> DataFrame:
     """doc_id, vec: ``idx:val`` with four decimals, by idx, space-joined; '' for an empty document."""
-    entries = weighted.join(small(index), "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "val"))).alias("e"))
+    entries = with_terms(weighted, index).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "val"))).alias("e"))
     text = F.array_join(F.transform("e", lambda x: F.format_string("%d:%.4f", x["idx"], x["val"])), " ")
     return docs.select("doc_id").join(entries, "doc_id", "left").select("doc_id", F.coalesce(text, F.lit("")).alias("vec"))
 
@@ -51,7 +51,7 @@ def bow_parse(vectors: DataFrame) -> DataFrame:
 def hash_slots(weighted: DataFrame, index: DataFrame, slots: int = 87423) -> DataFrame:
     """doc_id, slot, val: values summed where the decimal index strings of terms hash to the same slot; a term is hashed once."""
     own = index.select("term", java_hash(F.col("idx").cast("string"), slots).cast("long").alias("slot"))
-    return weighted.join(small(own), "term").groupBy("doc_id", "slot").agg(F.sum("val").alias("val"))
+    return with_terms(weighted, own).groupBy("doc_id", "slot").agg(F.sum("val").alias("val"))
 
 
 def slot_load(index: DataFrame, slots: int = 87423) -> DataFrame:
@@ -82,14 +82,14 @@ def _starts(at: np.ndarray) -> np.ndarray:
 
 
 def by_document(lists: DataFrame, table: DataFrame, columns: list[str], work: Callable[[pa.Table], pa.Table], out: str, keep: str = "inner") -> DataFrame:
-    """work() over whole documents, without a shuffle: doc_id, rows and the columns of their terms joined with a broadcast table of terms.
+    """work() over whole documents, without a shuffle: doc_id, rows and the columns of their terms joined with a table of terms.
 
-    A broadcast join leaves rows in the order of its other side, so the terms of a row of
-    term_lists() follow one another; ``at`` numbers that row. out: columns after doc_id.
+    with_terms() leaves rows in their order, so the terms of a row of term_lists() follow one
+    another; ``at`` numbers that row. out: columns after doc_id.
     """
     every = lists.withColumn("at", F.monotonically_increasing_id())
     rows = every.select("at", "doc_id", "rows", (F.inline_outer if keep == "left" else F.inline)("terms"))
-    joined = rows.join(F.broadcast(table), "term", keep).select("at", "doc_id", "rows", *columns)
+    joined = with_terms(rows, table, keep).select("at", "doc_id", "rows", *columns)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_runs(batches):
@@ -111,7 +111,7 @@ def l1_in_rows(lists: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def bow_string_in_rows(lists: DataFrame, places: DataFrame) -> DataFrame:
-    """bow_string() of term_lists() and a table (term, idx, idf) that is broadcast; a document for each row of an id, a null id has ''."""
+    """bow_string() of term_lists() and a table (term, idx, idf); a document for each row of an id, a null id has ''."""
 
     def work(t: pa.Table) -> pa.Table:
         at, known = t.column("at").to_numpy(), t.column("idx").is_valid().to_numpy()
@@ -132,7 +132,7 @@ def bow_string_in_rows(lists: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def hash_slots_in_rows(lists: DataFrame, places: DataFrame, slots: int = 87423) -> DataFrame:
-    """hash_slots() of term_lists() and a table (term, idx, idf) that is broadcast; a term is hashed once."""
+    """hash_slots() of term_lists() and a table (term, idx, idf); a term is hashed once."""
 
     def work(t: pa.Table) -> pa.Table:
         at, slot = t.column("at").to_numpy(), t.column("slot").to_numpy()

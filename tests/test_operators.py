@@ -339,3 +339,30 @@ def test_classifiers_train_on_few_partitions(spark, tmp_path, monkeypatch):
         assert few.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and few.count() == 3000
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("name", ["tfidf_l1", "tf_l1", "tfidf", "bow_string", "bow_parse", "tf_counts", "hash_slot_sums", "nb_sql"])
+def test_large_vocabularies_are_looked_up(spark, monkeypatch, name):
+    """A vocabulary that is not broadcast: documents and their terms are not dealt by either, however many pieces it has."""
+    d = "/root/testdata/sf0.001"
+    want = rows_of(catalogue.queries()[name](spark, d))
+    monkeypatch.setattr(text, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(text, "ROWS", 900)
+    monkeypatch.setattr(text, "PIECE", 70)
+    out = catalogue.queries()[name](spark, d)
+    if name != "nb_sql":
+        plan = _plan(out)
+        assert "hashpartitioning(term" not in plan and "hashpartitioning(doc_id" not in plan and "BroadcastHashJoin" not in plan
+    assert rows_of(out) == want
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_looked_up_keeps_rows_and_their_order():
+    rows = pa.table({"at": [0, 0, 1, 2], "term": ["é", "b", None, "é"]})
+    pieces = [pa.table({"term": ["a", "b"], "idf": [1.0, 2.0]}), pa.table({"term": ["é"], "idf": [3.0]})]
+    assert text.looked_up(rows, pieces, "inner").to_pylist() == [{"at": 0, "term": "é", "idf": 3.0}, {"at": 0, "term": "b", "idf": 2.0}, {"at": 2, "term": "é", "idf": 3.0}]
+    assert [x["idf"] for x in text.looked_up(rows, pieces[:1], "left").to_pylist()] == [None, 2.0, None, None]
+    assert text.looked_up(rows.slice(2, 1), pieces, "inner").num_rows == 0
