@@ -23,8 +23,8 @@ from corpusmill.llm.common import text_of
 from corpusmill.llm.tokenizing import ids_of
 from corpusmill.session import materialise
 
-#: Bytes of ids that a worker holds before it hands pieces on, and texts that it gets at a time.
-HELD, TEXTS = 1 << 22, 500
+#: Characters of text that a worker encodes together, and texts that it gets at a time.
+HELD, TEXTS = 1 << 20, 500
 #: Rows that one task matches, about; the length from which all shorter ones are one step.
 ROWS_A_RANGE, LOW = 50_000, 32
 
@@ -43,10 +43,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
         for b in batches:
             row, held, size = 0, [], 0
             for text in b.column(1):
-                held.append(encode(text.as_py()))
+                held.append(text.as_py())
                 size += len(held[-1])
                 if size >= HELD or row + len(held) == b.num_rows:
-                    yield _cut(b.column(0).slice(row, len(held)), held, capacity, end, with_ids)
+                    yield _cut(b.column(0).slice(row, len(held)), encode.many(held), capacity, end, with_ids)
                     row, held, size = row + len(held), [], 0
 
     return docs.select("doc_id", text_of()).mapInArrow(cut, schema)
