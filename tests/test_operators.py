@@ -366,3 +366,17 @@ def test_looked_up_keeps_rows_and_their_order():
     assert text.looked_up(rows, pieces, "inner").to_pylist() == [{"at": 0, "term": "é", "idf": 3.0}, {"at": 0, "term": "b", "idf": 2.0}, {"at": 2, "term": "é", "idf": 3.0}]
     assert [x["idf"] for x in text.looked_up(rows, pieces[:1], "left").to_pylist()] == [None, 2.0, None, None]
     assert text.looked_up(rows.slice(2, 1), pieces, "inner").num_rows == 0
+
+
+def test_forest_with_slices_that_a_tree_leaves_out(spark):
+    """A tree's sample may take no row of a slice at a node; here a slice is a row."""
+    from pyspark.ml.linalg import Vectors
+
+    rows = spark.createDataFrame([(i, float(i % 2), Vectors.sparse(2, [i % 2], [1.0 + i])) for i in range(12)], ["doc_id", "label", "features"])
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = {r.doc_id: r.prediction for r in classify.fit_predict("RF", rows.coalesce(1), rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert got == {i: float(i % 2) for i in range(12)}
