@@ -380,3 +380,12 @@ def test_forest_with_slices_that_a_tree_leaves_out(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
     assert got == {i: float(i % 2) for i in range(12)}
+
+
+def test_nb_predict_counts_terms_as_its_sql(spark, tmp_path):
+    """Terms used often in few rows count, single letters do not; a doc_id of two classes has a row."""
+    often, many = " ".join(["rare"] * 30), " ".join(["x"] * 5)
+    rows = [(1, often, "fr"), *[(i, f"{many} common", "de") for i in range(2, 40) if i % 5], *[(i, "common word", "fr") for i in range(41, 80) if i % 5]]
+    rows += [(5, "rare", "fr"), (10, f"{many} word", "fr"), (15, "x x x", "es"), (20, None, "en"), (25, "rare common", "de"), (25, "rare", "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    same(catalogue.queries()["nb_predict"](spark, str(tmp_path)), connect(str(tmp_path)), catalogue.oracle_sql()["nb_predict"])
