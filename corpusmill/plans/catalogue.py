@@ -196,7 +196,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "nb_predict": _model("NB"),
         "lr_predict": _model("LR", max_iter=20),
         "svm_predict": _model("SVM", max_iter=10),
-        "bilr_predict": _model("BILR", max_iter=10),
+        "bilr_predict": _model("BILR"),
         "mlp_predict": _model("MLP", max_iter=20),
         "tree_predict": _model("DT"),
         "forest_predict": _model("RF"),

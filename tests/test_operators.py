@@ -389,3 +389,14 @@ def test_nb_predict_counts_terms_as_its_sql(spark, tmp_path):
     rows += [(5, "rare", "fr"), (10, f"{many} word", "fr"), (15, "x x x", "es"), (20, None, "en"), (25, "rare common", "de"), (25, "rare", "fr")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     same(catalogue.queries()["nb_predict"](spark, str(tmp_path)), connect(str(tmp_path)), catalogue.oracle_sql()["nb_predict"])
+
+
+@pytest.mark.parametrize("name", ["BILR"])
+def test_models_run_the_workloads_iterations(spark, monkeypatch, name):
+    """No model stops before the 100 iterations that the workload's own models may take."""
+    from inspect import signature
+
+    seen = []
+    monkeypatch.setattr(classify, "fit_predict", lambda kind, train, test, **o: (seen.append(o), test.withColumn("prediction", F.lit(0.0)))[1])
+    catalogue.queries()[f"{name.lower()}_predict"](spark, "/root/testdata/sf0.001")
+    assert seen[0].get("max_iter", signature(classify.estimator).parameters["max_iter"].default) == 100
