@@ -194,7 +194,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "nb_sql": lambda s, d: classify.naive_bayes(_train(s, d), _test(s, d)).select("doc_id", "prediction"),
         "accuracy": lambda s, d: ovr.accuracy(classify.naive_bayes(_train(s, d), _test(s, d)), "label_name"),
         "nb_predict": _model("NB"),
-        "lr_predict": _model("LR", max_iter=20),
+        "lr_predict": _model("LR"),
         "svm_predict": _model("SVM", max_iter=10),
         "bilr_predict": _model("BILR"),
         "mlp_predict": _model("MLP", max_iter=20),
