@@ -195,7 +195,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "accuracy": lambda s, d: ovr.accuracy(classify.naive_bayes(_train(s, d), _test(s, d)), "label_name"),
         "nb_predict": _model("NB"),
         "lr_predict": _model("LR"),
-        "svm_predict": _model("SVM", max_iter=10),
+        "svm_predict": _model("SVM"),
         "bilr_predict": _model("BILR"),
         "mlp_predict": _model("MLP", max_iter=20),
         "tree_predict": _model("DT"),
