@@ -400,3 +400,39 @@ def test_models_run_the_workloads_iterations(spark, monkeypatch, name):
     monkeypatch.setattr(classify, "fit_predict", lambda kind, train, test, **o: (seen.append(o), test.withColumn("prediction", F.lit(0.0)))[1])
     catalogue.queries()[f"{name.lower()}_predict"](spark, "/root/testdata/sf0.001")
     assert seen[0].get("max_iter", signature(classify.estimator).parameters["max_iter"].default) == 100
+
+
+def test_perceptron_starts_with_sparks_weights(spark):
+    """From any place on, as Spark's model has them."""
+    import numpy as np
+    from pyspark.ml.common import _java2py
+
+    from corpusmill.operators.sparse import _Random
+
+    sc, layers = spark.sparkContext, [1500, 3]
+    sizes = sc._gateway.new_array(sc._jvm.int, 2)
+    sizes[0], sizes[1] = layers
+    want = _java2py(sc, sc._jvm.org.apache.spark.ml.ann.FeedForwardTopology.multiLayerPerceptron(sizes, True).model(7).weights()).toArray()
+    random = _Random(getattr(getattr(sc._jvm.org.apache.spark.util.random, "XORShiftRandom$"), "MODULE$").hashSeed(7))
+    got = np.concatenate([random.doubles(0, 1), random.doubles(1, 2999), random.doubles(3000, len(want) - 3000)])
+    assert np.abs((got * 4.8 - 2.4) / 1500**0.5 - want).max() < 1e-12
+
+
+def test_perceptron_leaves_long_vectors_to_tasks(spark, monkeypatch):
+    """The driver holds no array of the first layer's length, here 25.6 MB; pieces of it give Spark's predictions."""
+    import tracemalloc
+
+    from pyspark.ml.linalg import Vectors
+
+    from corpusmill.operators import sparse
+
+    monkeypatch.setattr(sparse, "PIECE", 1 << 20, raising=False)
+    n = 200_000
+    rows = spark.createDataFrame([(i, float(i % 2), Vectors.sparse(n, [i % 2, 2 + i % 2, n - 1 - i], [1.0, 2.0, 3.0])) for i in range(30)], ["doc_id", "label", "features"])
+    tracemalloc.start()
+    try:
+        got = {r.doc_id: r.prediction for r in classify.fit_predict("MLP", rows, rows, layers=[n, 16, 2], max_iter=3).collect()}
+        assert tracemalloc.get_traced_memory()[1] < 12 << 20
+    finally:
+        tracemalloc.stop()
+    assert got == {i: float(i % 2) for i in range(30)}
