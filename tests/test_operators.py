@@ -391,7 +391,7 @@ def test_nb_predict_counts_terms_as_its_sql(spark, tmp_path):
     same(catalogue.queries()["nb_predict"](spark, str(tmp_path)), connect(str(tmp_path)), catalogue.oracle_sql()["nb_predict"])
 
 
-@pytest.mark.parametrize("name", ["BILR", "LR", "SVM"])
+@pytest.mark.parametrize("name", ["BILR", "LR", "SVM", "MLP"])
 def test_models_run_the_workloads_iterations(spark, monkeypatch, name):
     """No model stops before the 100 iterations that the workload's own models may take."""
     from inspect import signature
